@@ -41,6 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``.
+
+    ``ids`` is written and counted: up to ``most`` rows it is broadcast, beyond that the join is a shuffle.
+    """
+    ids = written(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows, as the rows hold whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

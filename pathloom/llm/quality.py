@@ -18,10 +18,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, small_batches
 
 #: Most labelled documents used for fitting, and most lines of each.
 MAX_LABELLED = 2000
@@ -179,23 +180,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     return [(r["text"], int(r["__label"] > 0)) for r in rows]
 
 
+def verdict(text: str, model: tuple[np.ndarray, float], min_content_share: float = MIN_CONTENT_SHARE) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_lines, content_share."""
+    n, *rest = statistics(text)
+    lines, labels = line_labels(text, *model)
+    content = sum(len(ws) for (_, ws), label in zip(lines, labels, strict=True) if label)
+    share = content / n if n else 0.0
+    failed = n < MIN_WORDS or 100 * rest[-1] > MAX_REPEAT_PERCENT * n
+    return n, *rest, failed, not failed and share >= min_content_share, sum(labels), share
+
+
 def assess(docs: DataFrame, model: tuple[np.ndarray, float], min_content_share: float = MIN_CONTENT_SHARE) -> DataFrame:
-    """doc_id, the statistics, base_failed, content_lines, content_share and kept for each row of ``docs`` (doc_id, text)."""
-    weight, stay = model
+    """doc_id and the ``verdict`` on each row of ``docs`` (doc_id, text)."""
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
-            n, *rest = statistics(text)
-            lines, labels = line_labels(text, weight, stay)
-            content = sum(len(ws) for (_, ws), label in zip(lines, labels, strict=True) if label)
-            share = content / n if n else 0.0
-            failed = n < MIN_WORDS or 100 * rest[-1] > MAX_REPEAT_PERCENT * n
-            yield doc_id, n, *rest, failed, not failed and share >= min_content_share, sum(labels), share
+            yield doc_id, *verdict(text, model, min_content_share)
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_lines long, content_share double"
     return map_rows(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))), schema, each)
 
 
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], min_content_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is kept. Row by row: no join, no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([verdict(text or "", model, min_content_share)[6] for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled sample, then ``assess`` every document."""
     return assess(docs, fit(labelled_sample(docs, labels)))
