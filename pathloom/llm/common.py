@@ -80,7 +80,7 @@ def map_rows(df: DataFrame, schema: str, function: Callable[[Iterator[tuple]], I
         if out:
             yield _batch(out, target)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
