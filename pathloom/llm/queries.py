@@ -20,11 +20,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents has no paths, so its rows are laid out as source/lang/thousand/file.
 
-    A text whose first line is a short licence notice stands for a licence file of its source and language.
+    A short text that opens or closes with a line about its licence stands for a licence file of its source and language.
     """
     docs = table(spark, sf_dir, "documents")
-    opening = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    statement = F.rlike(opening, F.lit(r"(?i)licen[cs]e")) & (F.length(opening) <= 120)
+    ends = [F.substring_index(F.coalesce("text", F.lit("")), "\n", k) for k in (1, -1)]
+    first, last = (F.rlike(x, F.lit(r"(?i)licen[cs]e")) & (F.length(x) <= 120) for x in ends)
+    statement = (first | last) & (F.length("text") <= 1000)
     place = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
     inner = F.concat_ws("/", place, F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     path = F.when(statement, F.concat(place, F.lit("/LICENSE-"), F.col("doc_id").cast("string"))).otherwise(inner)
