@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, license_scan, packing, quality, secrets, token_counts, warc
+from . import chat, decontam, jaccard, license_scan, lm_scoring, packing, quality, secrets, token_counts, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_warc, op4_secret_scan, op5_chat_formatting,
-        op6_benchmark_decontamination, op8_jaccard_join, op9_quality_rules, op10_token_counts,
+        op6_benchmark_decontamination, op7_lm_scoring, op8_jaccard_join, op9_quality_rules, op10_token_counts,
     )
 }
 
