@@ -24,9 +24,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 def element_counts(found: DataFrame) -> DataFrame:
     """Like ``stats.value_counts``, a value once for each array."""
-    num, string, flag = (F.col("kind") == k for k in ("num", "str", "bool"))
-    values = found.select("path", "kind", F.when(num, F.expr("array_distinct(transform(e, x -> try_variant_get(x, '$', 'decimal(38,9)')))")).alias("n"), F.when(string, F.expr("array_distinct(transform(e, x -> try_variant_get(x, '$', 'string')))")).alias("s"), F.when(flag, F.expr("array_distinct(transform(e, x -> try_variant_get(x, '$', 'boolean')))")).alias("b"))
-    values = values.select("path", "kind", F.explode(F.arrays_zip("n", "s", "b")).alias("v"))
+    none = {"n": "cast(null as decimal(38,9))", "s": "cast(null as string)", "b": "cast(null as boolean)"}
+
+    def column(name: str, kind: str) -> str:
+        each = ", ".join(f"{'x' if k == name else v} as {k}" for k, v in none.items())
+        return f"transform(array_distinct(transform(e, y -> try_variant_get(y, '$', '{kind}'))), x -> struct({each}))"
+
+    shown = f"case kind when 'num' then {column('n', 'decimal(38,9)')} when 'str' then {column('s', 'string')} else {column('b', 'boolean')} end"
+    values = found.select("path", "kind", F.explode(F.expr(shown)).alias("v"))
     values = values.select("path", "kind", F.col("v.n").cast("double").alias("num_val"), F.col("v.n").alias("num_exact"), F.col("v.s").alias("str_val"), F.col("v.b").alias("bool_val"))
     return values.groupBy("path", "kind", *stats.VALUE).agg(F.count("*").alias("cnt"))
 
