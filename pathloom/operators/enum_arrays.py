@@ -18,8 +18,8 @@ _EXACT = "case when schema_of_variant(x) = 'STRING' then 'str' when schema_of_va
 def candidates(nodes: DataFrame) -> DataFrame:
     """path (typed array path and element suffix), kind, elements: arrays that are not empty and of one exact type."""
     rows = nodes.where("kind = 'arr'").select("doc_id", "typed_path", F.expr("try_variant_get(arr, '$', 'array<variant>')").alias("e")).where("size(e) > 0")
-    rows = rows.withColumn("kinds", F.expr(f"transform(e, x -> {_EXACT})")).where("kinds[0] is not null and forall(kinds, k -> coalesce(k = kinds[0], false))")
-    return rows.select("doc_id", F.concat("typed_path", F.lit("["), F.col("kinds")[0], F.lit("]")).alias("path"), F.col("kinds")[0].alias("kind"), "e")
+    rows = rows.withColumn("kinds", F.expr(f"transform(e, x -> {_EXACT})")).where("get(kinds, 0) is not null and forall(kinds, k -> coalesce(k = get(kinds, 0), false))")
+    return rows.select("doc_id", F.concat("typed_path", F.lit("["), F.get("kinds", F.lit(0)), F.lit("]")).alias("path"), F.get("kinds", F.lit(0)).alias("kind"), "e")
 
 
 def element_counts(found: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ EQ_SHARE, EQ_BOOL_SHARE, MEMBER_SHARE = 0.1, 0.5, 0.1
 
 V = "cast(count - null_count as double)"
 R = "(max_num - min_num)"
-LOWER = "if(i = 0, min_num, buckets[i - 1].num)"
+LOWER = "if(i = 0, min_num, get(buckets, i - 1).num)"
 
 
 def _over_buckets(term: str) -> str:
@@ -53,7 +53,7 @@ def _gt(kind: StatType) -> str:
 def _lt(kind: StatType) -> str:
     linear = f"try_divide(least(num - min_num, {R}), {R}) * {V}"
     if kind is StatType.HISTOGRAM:
-        equi = _over_buckets(f"case when b.num < num then cast(b.count as double) when (i = 0 or buckets[i - 1].num < num) and b.ndv > 1 then b.count * ((num - {LOWER}) / (b.num - {LOWER})) else 0D end")
+        equi = _over_buckets(f"case when b.num < num then cast(b.count as double) when (i = 0 or get(buckets, i - 1).num < num) and b.ndv > 1 then b.count * ((num - {LOWER}) / (b.num - {LOWER})) else 0D end")
         body = _histogram(equi, _over_buckets("if(b.num < num, cast(b.count as double), 0D)"))
     elif kind is StatType.NDV_WITH_MODE:
         shift = f"coalesce(if(mode.num_val < num, mode.count - {V} / ndv, {V} / ndv - mode.count), 0D)"
