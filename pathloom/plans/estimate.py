@@ -131,7 +131,7 @@ def estimates(predicates: DataFrame, stats: DataFrame, meta: DataFrame, config:
     arrays = arrays.join(enum, F.concat("__stored", F.lit("["), F.col("x.kind"), F.lit("]")) == F.col("__enum"), "left")
     each = arrays.withColumn("m", F.when(F.col("x").isNotNull(), F.expr(_member(kind))))
     whole = each.groupBy("pred_id", "op", "path").agg(
-        F.min("m").alias("low"), F.max("m").alias("high"), F.count("m").alias("n"), F.max(F.expr(V)).alias("v"), F.max(F.expr(missing)).alias("missing"), F.max("__path").alias("found")
+        F.min("m").alias("low"), F.max("m").alias("high"), F.count("x").alias("n"), F.max(F.expr(V)).alias("v"), F.max(F.expr(missing)).alias("missing"), F.max("__path").alias("found")
     )
     array_value = F.expr("""case when op = 'overlaps' and n = 0 then 0D
         when found is null then missing when op = 'contains' and n = 0 then v when op = 'overlaps' then high

@@ -13,7 +13,7 @@ def _numbered(texts: DataFrame) -> DataFrame:
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
     """A file (or files) that holds one JSON array of documents."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     found = whole.select(F.explode(F.expr("try_variant_get(try_parse_json(value), '$', 'array<variant>')")).alias("doc"))
     return found.select(F.monotonically_increasing_id().alias("doc_id"), "doc")
 
