@@ -44,7 +44,9 @@ SPELLING_CLASSES = 8
 PROFILE = 16
 HIDDEN = 8
 WINDOW = 32
+TRAIN_WINDOW = 16
 STREAMS = 512
+LEAST_STREAM = 2048
 BUFFER_TOKENS = 4_000_000
 FOLDS, HELD_OUT = 7, 2
 #: Remainders of the training documents of each round.
@@ -81,6 +83,9 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> list[bytes]:
                     counts = Counter({w: n for w, n in counts.items() if n > 1})
                     if len(counts) > 1 << 19:
                         counts = Counter(dict(counts.most_common(1 << 19)))
+        if len(counts) > most:  # sort no more than those that can be among the most frequent
+            least = np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -most)[-most]
+            counts = Counter({w: n for w, n in counts.items() if n >= least})
         yield from sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
 
     found = map_rows(_tokens(docs), "word binary, n long", each).groupBy("word").agg(F.sum("n").alias("n"))
@@ -96,11 +101,10 @@ def encode(docs: DataFrame, dictionary: list[bytes]) -> DataFrame:
         for doc_id, text in rows:
             words = words_of(text)
             ids = np.fromiter(map(index.get, words, repeat(UNKNOWN)), np.uint16, len(words))
-            other = np.nonzero(ids == UNKNOWN)[0].tolist()
-            tail: Counter = Counter()
-            for k in other:
-                ids[k] = TAIL + spelling(words[k])
-            tail.update(map(words.__getitem__, other))
+            other = np.nonzero(ids == UNKNOWN)[0]
+            rare = [words[k] for k in other.tolist()]
+            ids[other] = np.fromiter(map(spelling, rare), np.uint16, len(rare)) + TAIL
+            tail = Counter(rare)
             yield key, doc_id, fold(doc_id), len(words) + 1, ids.tobytes() + b"\0\0", list(tail), list(tail.values())
             key += 1
 
@@ -133,15 +137,13 @@ def profiles(encoded: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
         project = np.random.default_rng(11).standard_normal((top, PROFILE)).astype(np.float32)
         counts, sums = np.zeros(total, np.int64), np.zeros((top, PROFILE))
-        for part, ids in rows:
-            if part != HELD_OUT:
-                a = np.frombuffer(ids, np.uint16)
-                own = np.bincount(a, minlength=total)
-                counts += own
-                seen = np.nonzero(own[:top])[0]
-                n = np.log1p(own[seen]).astype(np.float32)[:, None]
+        for held in _buffers((ids,) for part, ids in rows if part != HELD_OUT):
+            for (a,) in held:
+                seen, n = np.unique(a[a < top], return_counts=True)
+                n = np.log1p(n).astype(np.float32)[:, None]
                 vector = (n * project[seen]).sum(0)
                 sums[seen] += n * (vector / (np.linalg.norm(vector) + 1e-9))
+            counts += np.bincount(np.concatenate([a for (a,) in held]), minlength=total)
         for k in np.nonzero(counts)[0].tolist():
             yield k, int(counts[k]), sums[k].tolist() if k < top else None
 
@@ -177,13 +179,16 @@ def word_classes(counts: np.ndarray, vectors: np.ndarray, dictionary: list[bytes
 
 
 class Network:
-    """Gated recurrent unit from word ids to class probabilities. ``inputs`` maps an id to a row of the embedding."""
+    """Gated recurrent unit from word ids to class probabilities. ``inputs`` maps an id to a row of the embedding.
+
+    Arrays of a window are (time, feature, stream), so that each feature's streams lie together.
+    """
 
     def __init__(self, inputs: np.ndarray, classes: np.ndarray, prior: np.ndarray):
         g = np.random.default_rng(3)
         rows = int(inputs.max()) + 1
-        self.inputs, self.classes = inputs, classes
-        self.shapes = [(rows, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (HIDDEN, CLASSES), (CLASSES,)]
+        self.inputs, self.classes = inputs.astype(np.uint16), classes
+        self.shapes = [(rows, 3 * HIDDEN), (3 * HIDDEN, HIDDEN), (CLASSES, HIDDEN), (CLASSES,)]
         e = g.standard_normal(self.shapes[0]).astype(np.float32) * 0.1
         e[:, :HIDDEN] -= 1.0  # the state changes slowly at first
         self.params = [e, g.standard_normal(self.shapes[1]).astype(np.float32) * 0.3, np.zeros(self.shapes[2], np.float32), np.log(prior).astype(np.float32)]
@@ -198,36 +203,39 @@ class Network:
             self.params[k] = flat[at : at + n].reshape(shape).astype(np.float32)
             at += n
 
-    def window(self, given: np.ndarray, keep: np.ndarray, h: np.ndarray, save: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of the inputs ``given`` (time, stream); ``keep`` is 0 where a document begins."""
+    def window(self, given: np.ndarray, keep: list, h: np.ndarray, save: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each of the inputs ``given`` (time, stream), from the state ``h``; ``keep`` is 0 where a document begins."""
         e, u, _, _ = self.params
-        x = e[given]
-        states = np.empty((*given.shape, HIDDEN), np.float32)
+        x = np.ascontiguousarray(e[given].transpose(0, 2, 1))
+        states = np.empty((len(given), HIDDEN, given.shape[1]), np.float32)
         for t in range(len(given)):
             if keep[t] is not None:
                 h = h * keep[t]
-            a = h @ u
-            zr = np.tanh(0.5 * (x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]))
+            a = u @ h
+            zr = x[t, : 2 * HIDDEN] + a[: 2 * HIDDEN]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(x[t, :, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+            z, r = zr[:HIDDEN], zr[HIDDEN:]
+            c = r * a[2 * HIDDEN :]
+            c += x[t, 2 * HIDDEN :]
+            np.tanh(c, out=c)
             if save is not None:
-                save.append((h, a, z, r, c))
+                save.append((h, a[2 * HIDDEN :], z, r, c))
             h = h + z * (c - h)
             states[t] = h
         return states, h
 
-    def log_classes(self, states: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probability of each class; all class probabilities."""
-        logits = states.reshape(-1, HIDDEN) @ self.params[2]
-        logits += self.params[3]
-        own = logits[np.arange(len(logits)), classes.ravel()]
+    def log_classes(self, states: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log probability of each class (time, stream); all classes' probabilities times a total; the total."""
+        logits = self.params[2] @ states
+        logits += self.params[3][:, None]
         np.clip(logits, -40, 40, out=logits)
+        own = np.take_along_axis(logits, classes[:, None], 1)[:, 0]
         np.exp(logits, out=logits)
         total = logits.sum(1)
-        logits /= total[:, None]
-        return own - np.log(total), logits
+        return own - np.log(total), logits, total
 
 
 @dataclass
@@ -265,48 +273,66 @@ def lay_out(docs: list[np.ndarray], most: int = STREAMS) -> Streams:
     return Streams(ids, begins, lengths[order], places)
 
 
-def _windows(s: Streams, network: Network) -> Iterator[tuple]:
+def even_streams(docs: list[np.ndarray], most: int = STREAMS) -> Streams:
+    """For training: the documents end to end, cut into streams of one length. A document that is cut begins anew in the next stream."""
+    total = sum(map(len, docs))
+    many = max(1, min(most, total // LEAST_STREAM))
+    size = -(-total // many)
+    many = -(-total // size)
+    ids, begins = np.zeros(size * many, np.uint16), np.zeros(size * many, bool)
+    ids[:total] = np.concatenate(docs)
+    begins[np.cumsum([0, *map(len, docs[:-1])])] = True
+    begins[::size] = True
+    lengths = np.full(many, size)
+    lengths[-1] = total - size * (many - 1)
+    return Streams(np.ascontiguousarray(ids.reshape(many, size).T), np.ascontiguousarray(begins.reshape(many, size).T), lengths, [])
+
+
+def _windows(s: Streams, network: Network, width: int = WINDOW) -> Iterator[tuple]:
     """(start, stop, active streams, inputs, keep, targets) window by window."""
     shifted = np.vstack([np.zeros((1, s.ids.shape[1]), np.uint16), s.ids[:-1]])
     shifted[s.begins] = END
-    for at in range(0, len(s.ids), WINDOW):
-        stop = min(at + WINDOW, len(s.ids))
+    for at in range(0, len(s.ids), width):
+        stop = min(at + width, len(s.ids))
         n = int(np.searchsorted(-s.lengths, -at, "left"))
         begins = s.begins[at:stop, :n]
-        keep = [(~row).astype(np.float32)[:, None] if row.any() else None for row in begins]
+        keep = [(~row).astype(np.float32) if row.any() else None for row in begins]
         yield at, stop, n, network.inputs[shifted[at:stop, :n]], keep, network.classes[s.ids[at:stop, :n]]
 
 
-def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float = 0.08) -> None:
+def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float = 0.12) -> None:
     """One pass of truncated backpropagation with Adagrad over the streams; the state goes on from window to window."""
-    h = np.zeros((s.ids.shape[1], HIDDEN), np.float32)
-    for at, stop, n, given, keep, targets in _windows(s, network):
-        h, save = h[:n], []
+    h = np.zeros((HIDDEN, s.ids.shape[1]), np.float32)
+    for at, stop, n, given, keep, targets in _windows(s, network, TRAIN_WINDOW):
+        h, save = np.ascontiguousarray(h[:, :n]), []
         states, h = network.window(given, keep, h, save)
         inside = np.arange(at, stop)[:, None] < s.lengths[None, :n]
-        _, d = network.log_classes(states, targets)
-        d[np.arange(len(d)), targets.ravel()] -= 1
-        d *= (inside.ravel() / max(1, inside.sum())).astype(np.float32)[:, None]
+        _, d, total = network.log_classes(states, targets)
+        d /= total[:, None]
+        np.put_along_axis(d, targets[:, None], np.take_along_axis(d, targets[:, None], 1) - 1, 1)
+        d *= np.float32(1 / max(1, inside.sum()))
+        if not inside.all():
+            d *= inside[:, None]
         e, u, w, _ = network.params
-        flat = states.reshape(-1, HIDDEN)
-        grads = [None, None, flat.T @ d, d.sum(0)]
-        back = (d @ w.T).reshape(states.shape)
-        da_all, dx_all = np.empty((*given.shape, 3 * HIDDEN), np.float32), np.empty((*given.shape, 3 * HIDDEN), np.float32)
-        dh = np.zeros((n, HIDDEN), np.float32)
+        grads = [None, None, np.matmul(d, states.transpose(0, 2, 1)).sum(0), d.sum(2).sum(0)]
+        back = w.T @ d
+        da_all, dx_all = np.empty((len(given), 3 * HIDDEN, n), np.float32), np.empty((len(given), 3 * HIDDEN, n), np.float32)
+        dh = np.zeros((HIDDEN, n), np.float32)
         for t in range(len(given) - 1, -1, -1):
-            before, a, z, r, c = save[t]
+            before, own, z, r, c = save[t]
             dh = dh + back[t]
             dx, da = dx_all[t], da_all[t]
-            dc = dh * z * (1 - c * c)
-            dx[:, :HIDDEN] = dh * (c - before) * z * (1 - z)
-            dx[:, HIDDEN : 2 * HIDDEN] = dc * a[:, 2 * HIDDEN :] * r * (1 - r)
-            dx[:, 2 * HIDDEN :] = dc
-            da[:] = dx
-            da[:, 2 * HIDDEN :] *= r
-            dh = dh * (1 - z) + da @ u.T
+            dhz = dh * z
+            dc = dhz * (1 - c * c)
+            dx[:HIDDEN] = dhz * (c - before) * (1 - z)
+            dx[HIDDEN : 2 * HIDDEN] = dc * own * r * (1 - r)
+            dx[2 * HIDDEN :] = dc
+            da[: 2 * HIDDEN] = dx[: 2 * HIDDEN]
+            da[2 * HIDDEN :] = dc * r
+            dh = dh - dhz + u.T @ da
             if keep[t] is not None:
                 dh = dh * keep[t]
-        grads[1] = np.stack([x[0] for x in save]).reshape(-1, HIDDEN).T @ da_all.reshape(-1, 3 * HIDDEN)
+        grads[1] = np.matmul(da_all, np.stack([x[0] for x in save]).transpose(0, 2, 1)).sum(0)
         scale = min(1.0, 1.0 / (math.sqrt(sum(float((g * g).sum()) for g in grads[1:])) + 1e-9))
         for k in (1, 2, 3):
             g = grads[k] * scale
@@ -314,9 +340,9 @@ def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float =
             network.params[k] -= rate * g / np.sqrt(slopes[k])
         rows = given.ravel()
         order = np.argsort(rows, kind="stable")
-        first = np.r_[0, np.nonzero(np.diff(rows[order]))[0] + 1]
+        first = np.r_[0, np.nonzero(np.diff(rows[order].astype(np.int32)))[0] + 1]
         touched = rows[order[first]]
-        g = np.add.reduceat(dx_all.reshape(-1, 3 * HIDDEN)[order], first) * scale
+        g = np.add.reduceat(dx_all.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first) * scale
         slopes[0][touched] += g * g
         e[touched] -= rate * g / np.sqrt(slopes[0][touched])
 
@@ -345,7 +371,7 @@ def train(encoded: DataFrame, network: Network) -> None:
             for held in _buffers(rows):
                 docs = [ids for (ids,) in held]
                 tokens += sum(map(len, docs))
-                learn(network, lay_out(docs), slopes)
+                learn(network, even_streams(docs), slopes)
             if tokens:
                 change = (network.flat() - start).astype(np.float64) * tokens
                 for k in range(0, len(change), CHUNK):
@@ -394,7 +420,7 @@ def score(docs: DataFrame) -> DataFrame:
     rare = classes > WORD_CLASSES
     inputs[rare] = len(vectors) + classes[rare] - 1 - WORD_CLASSES
     inputs[(~rare) & (inputs >= len(vectors))] = 0
-    network = Network(inputs.astype(np.int32), classes, (in_class + 1) / (in_class + 1).sum())
+    network = Network(inputs, classes, (in_class + 1) / (in_class + 1).sum())
     train(encoded, network)
     start = network.flat()
 
@@ -404,10 +430,10 @@ def score(docs: DataFrame) -> DataFrame:
             docs = [ids for *_, ids in held]
             s = lay_out(docs)
             logs = np.zeros(s.ids.shape, np.float64)
-            h = np.zeros((s.ids.shape[1], HIDDEN), np.float32)
+            h = np.zeros((HIDDEN, s.ids.shape[1]), np.float32)
             for at, stop, n, given, keep, targets in _windows(s, network):
-                states, h = network.window(given, keep, h[:n])
-                logs[at:stop, :n] = network.log_classes(states, targets)[0].reshape(targets.shape)
+                states, h = network.window(given, keep, h[:, :n])
+                logs[at:stop, :n] = network.log_classes(states, targets)[0]
             for (key, doc_id, part, ids), (stream, at, n) in zip(held, s.places, strict=True):
                 known = int((counts[ids[ids < TAIL]] > 0).sum())
                 yield key, doc_id, part == HELD_OUT, n, known, float(word_logs[ids].sum()), float(logs[at : at + n, stream].sum() / math.log(10) + class_logs[ids].sum())
