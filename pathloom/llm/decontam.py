@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts are cut into words of letters and digits, and numbers, names (capitalised words within a sentence) and units become typed placeholders,
+Texts are cut into words of letters and digits, and numbers, names (capitalised words within a sentence, but not words in capitals) and units become typed placeholders,
 one word for one word, so that a re-parameterised question has the same template. Every window of ``WIDTH`` template words of a benchmark
 item is hash-joined with the documents' windows. Of those, only windows around an *anchor* are built: each benchmark window names its longest
 literal word, and a document's window that equals it must have that word in the same place; so the join on single words loses nothing.
@@ -53,7 +53,7 @@ def template_words(text: Column) -> Column:
     t = _plain(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])[0-9][\p{L}\p{N}]*", NUMBER)
     t = F.regexp_replace(t, rf"(?<=(?<![\p{{L}}\p{{N}}]){NUMBER}[  ])(?i:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}0-9,;:][ ])\p{Lu}[\p{L}\p{N}]*", NAME)
+    t = F.regexp_replace(t, r"(?<=[\p{Ll}0-9,][ ])\p{Lu}\p{Ll}[\p{L}\p{N}]*", NAME)
     return _cut(t)
 
 

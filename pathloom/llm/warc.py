@@ -37,6 +37,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the pages bear no dates
 FILE_BYTES = 64 << 20
 MAX_HEAD = 64 << 10
+MANDATORY = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"}
 CHUNK = 16 << 10
 MAGIC = b"\x1f\x8b\x08"
 #: Digests of payloads that several pages have: up to this many are broadcast, beyond that the join is a shuffle.
@@ -163,7 +164,9 @@ def _parse(data: bytes) -> tuple[dict[str, str], int] | None:
     except UnicodeDecodeError:
         return None
     head = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-    if len(head) != len(lines) - 1 or not head.get("Content-Length", "").isascii() or not head.get("Content-Length", "").isdigit() or "WARC-Type" not in head:
+    if len(head) != len(lines) - 1 or not MANDATORY <= head.keys() or not re.fullmatch("<[^<> ]+>", head["WARC-Record-ID"]):
+        return None
+    if not head["Content-Length"].isascii() or not head["Content-Length"].isdigit():
         return None
     return head, end + 4
 
