@@ -48,7 +48,19 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 _MULTIPLIERS = [np.uint64(2 * int.from_bytes(hashlib.md5(b"shingle %d" % k).digest()[:8], "big") + 1 & (1 << 64) - 1) for k in range(64)]
-_known: dict[bytes, int] = {}
+
+
+class _WordHashes(dict):
+    """Hashes of words, computed when first asked for; forgotten when there are very many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _WordHashes()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -61,10 +73,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     words = words_of(text)
-    if len(_known) > 1 << 18:
-        _known.clear()
-    seen = _known.get
-    a = np.fromiter((seen(w) or _known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, len(words))
+    a = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = len(a) - width + 1
     if not len(a):
         return a
@@ -76,15 +85,19 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n, f1, f2: set size and fingerprint; f1 and f2 are null for empty sets."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, prefix_percent: int = PREFIX_PERCENT) -> DataFrame:
+    """doc_id, n, f1, f2, prefix: set size, fingerprint and prefix tokens; f1 and f2 are null for empty sets."""
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             tokens = shingle_set(text, width)
-            yield (doc_id, len(tokens), *(np.frombuffer(hashlib.md5(tokens.tobytes()).digest(), np.int64).tolist() if len(tokens) else (None, None)))
+            yield (doc_id, len(tokens), *(_fingerprint(tokens) if len(tokens) else (None, None)), tokens[: _prefix_size(len(tokens), percent, prefix_percent)].tobytes())
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), text_bytes()), "doc_id long, n long, f1 long, f2 long, prefix binary", each)
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), text_bytes()), "doc_id long, n long, f1 long, f2 long", each)
+
+def _fingerprint(tokens: np.ndarray) -> list[int]:
+    return np.frombuffer(hashlib.md5(tokens.tobytes()).digest(), np.int64).tolist()
 
 
 def _prefix_size(n: int, percent: int, prefix_percent: int) -> int:
@@ -103,8 +116,20 @@ def _least_shared(n: str, percent: int, prefix_percent: int) -> str:
     return f"greatest(1, ({max(0, percent + prefix_percent - 100) * percent} * {n} + 9999) div 10000)"
 
 
-def prefixes(texts: DataFrame, width: int, percent: int, prefix_percent: int) -> DataFrame:
-    """token, s (the set's f1), seen: the prefix tokens of each set; ``texts`` has the texts as bytes.
+def whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """f1, prefix: all tokens of the sets of ``texts`` (bytes)."""
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (text,) in rows:
+            tokens = shingle_set(text, width)
+            if len(tokens):
+                yield _fingerprint(tokens)[0], tokens.tobytes()
+
+    return map_rows(texts, "f1 long, prefix binary", each)
+
+
+def token_rows(prints: DataFrame) -> DataFrame:
+    """token, s (the set's f1), seen: a row for each token of ``prints`` (f1, prefix).
 
     Within a batch each set comes once. A token that several sets of a batch have is known to be shared: all of them get a row with ``seen``,
     and only one further row goes on to meet the other batches.
@@ -112,13 +137,8 @@ def prefixes(texts: DataFrame, width: int, percent: int, prefix_percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            for text in batch.column(0).to_pylist():
-                tokens = shingle_set(text, width)
-                if len(tokens):
-                    s = int(np.frombuffer(hashlib.md5(tokens.tobytes()).digest(), np.int64)[0])
-                    if s not in sets:
-                        sets[s] = tokens[: _prefix_size(len(tokens), percent, prefix_percent)].view(np.int64)
+            sets = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            sets = {s: np.frombuffer(tokens, np.int64) for s, tokens in sets.items() if s is not None}
             if sets:
                 s = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(t) for t in sets.values()])
                 token = np.concatenate(list(sets.values()))
@@ -132,13 +152,13 @@ def prefixes(texts: DataFrame, width: int, percent: int, prefix_percent: int) ->
                 for k in range(0, len(seen), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (*out, seen)], names=["token", "s", "seen"])
 
-    small_batches(texts.sparkSession)
-    return texts.mapInArrow(run, "token long, s long, seen boolean")
+    small_batches(prints.sparkSession)
+    return prints.select("f1", "prefix").mapInArrow(run, "token long, s long, seen boolean")
 
 
-def shared_tokens(texts: DataFrame, sizes: DataFrame, width: int, percent: int, prefix_percent: int) -> tuple[DataFrame, DataFrame]:
+def shared_tokens(prints: DataFrame, sizes: DataFrame, percent: int, prefix_percent: int) -> tuple[DataFrame, DataFrame]:
     """(token, s) of prefix tokens that several sets have; the sets s that share enough of theirs to link at all."""
-    rows = prefixes(texts, width, percent, prefix_percent)
+    rows = token_rows(prints)
     of_token = Window.partitionBy("token")
     met = rows.where("not seen").select("token", "s").withColumn("low", F.min("s").over(of_token)).withColumn("high", F.max("s").over(of_token)).where("low != high")
     shared = written(met.select("token", "s").unionByName(rows.where("seen").select("token", "s")))
@@ -157,14 +177,14 @@ def texts_of(docs: DataFrame, keys: DataFrame, most: int = BROADCAST_ROWS) -> Da
     return texts.join(F.broadcast(keys) if keys.count() <= most else keys, "rep")
 
 
-def candidate_groups(docs: DataFrame, keys: DataFrame, width: int, percent: int, prefix_percent: int) -> DataFrame:
+def candidate_groups(docs: DataFrame, prints: DataFrame, keys: DataFrame, width: int, percent: int, prefix_percent: int) -> DataFrame:
     """s, grp: the sets that may link, and the group in which all their links lie. ``keys`` has s, n and rep for each set."""
-    _, enough = shared_tokens(docs.select(text_bytes()), keys, width, percent, prefix_percent)
+    _, enough = shared_tokens(prints, keys, percent, prefix_percent)
     left = keys.join(enough, "s")
-    shared, enough = shared_tokens(texts_of(docs, left.select("rep")).select("text"), left, width, percent, 100)
+    shared, enough = shared_tokens(whole_sets(texts_of(docs, left.select("rep")).select("text"), width), left, percent, 100)
     # Stars among the remaining sets: the smallest set of each token is its hub. The join's hot tokens are split by adaptive execution.
     shared = shared.join(enough, "s")
-    hub = shared.groupBy("token").agg(F.min("s").alias("hub"))
+    hub = written(shared.groupBy("token").agg(F.min("s").alias("hub")))  # a table, so that both sides of the join are shuffled for it and can be split
     edges = shared.join(hub, "token").where("s != hub").select("s", "hub").distinct()
     return components(edges, "s", "hub").withColumnRenamed("node", "s").withColumnRenamed("component", "grp")
 
@@ -173,7 +193,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (its smallest node) of the graph, by alternating large and small stars until nothing changes.
 
     Each round is two aggregations and joins over the edges, written to the shared folder; only a count comes to the driver. A node with very
-    many neighbours is never gathered: its smallest neighbour is an aggregate, and adaptive execution splits its rows in the joins.
+    many neighbours is never gathered: its smallest neighbour is an aggregate, and salts split its rows in the joins.
     """
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     before = None
@@ -181,10 +201,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # large star: a node's larger neighbours go to its smallest neighbour, or to itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = _starred(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v")
+        small = _starred(large, low).select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v")
         edges = written(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -194,6 +214,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
+def _starred(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (u, v) with their u's ``low``; a hub's edges are dealt by salt."""
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
+
+
 class Signatures:
     """The sets of one task as a tree: ``levels[0]`` are leaves of LEAF sets, each level above joins LEAF nodes.
 
@@ -306,7 +332,7 @@ def tree_join(docs: DataFrame, keys: DataFrame, groups: DataFrame, width: int, p
     def tokens(rows: Iterator[tuple]) -> Iterator[tuple]:
         for s, f2, grp, task, text in rows:
             own = shingle_set(text, width)
-            if np.frombuffer(hashlib.md5(own.tobytes()).digest(), np.int64).tolist() == [s, f2]:  # else another row of that document id
+            if _fingerprint(own) == [s, f2]:  # else another row of that document id
                 for t in task:
                     yield s, f2, grp, t["c1"], t["x1"], t["c2"], t["x2"], t["side"], own.tobytes()
 
@@ -341,9 +367,9 @@ def _solve(held: dict[int, dict], percent: int) -> Iterator[tuple]:
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, prefix_percent: int = PREFIX_PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    prints = written(fingerprints(docs, width))
+    prints = written(fingerprints(docs, width, percent, prefix_percent))
     keys = written(prints.where("f1 is not null").groupBy(F.col("f1").alias("s"), "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-    groups = candidate_groups(docs, keys, width, percent, prefix_percent)
+    groups = candidate_groups(docs, prints, keys, width, percent, prefix_percent)
     found = written(tree_join(docs, keys.where("rep is not null"), groups, width, percent, block))
     # components over representatives: the smallest doc_id of each set
     ends = keys.select("s", "f2", "rep")
@@ -351,5 +377,5 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, pr
     b = ends.select(F.col("s").alias("b1"), F.col("f2").alias("b2"), F.col("rep").alias("v"))
     top = components(found.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]), "u", "v")
     classes = keys.join(top.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("s").alias("f1"), "f2", F.coalesce("component", "rep").alias("component_id"))
-    joined = prints.join(classes, ["f1", "f2"], "left")  # adaptive execution splits the rows of a hot set
+    joined = prints.drop("prefix").join(classes, ["f1", "f2"], "left")  # adaptive execution splits the rows of a hot set
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
