@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and SQL for those that SQL can express."""
+"""The registered queries of this subpackage; ORACLE_SQL has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, jaccard, license_scan, lm_scoring, packing, quality, secrets, token_counts, warc
 from .common import table
+from .oracle import ORACLE_SQL
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -79,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
