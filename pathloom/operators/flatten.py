@@ -41,18 +41,18 @@ def max_depth(docs: DataFrame) -> int:
     return docs.select(step.alias("d")).agg(F.max("d")).first()[0] or 0
 
 
-def flatten(docs: DataFrame, config: EngineConfig | None = None, depth: int | None = None) -> DataFrame:
-    """Nodes of ``docs`` (doc_id, doc). ``depth`` is the deepest nesting, found by ``max_depth`` if not given; deeper parts are not visited."""
+def flatten(docs: DataFrame, config: EngineConfig | None = None, depth: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes of ``docs`` (doc_id, doc), with its columns ``keep``. ``depth`` is the deepest nesting, found by ``max_depth`` if not given; deeper parts are not visited."""
     config = config or EngineConfig()
     depth = max_depth(docs) if depth is None else depth
     none = F.array().cast("array<string>")
-    state = docs.select("doc_id", F.lit("").alias("parent"), F.lit("").alias("base"), F.lit("").alias("typed"), none.alias("keys"), F.col("doc").alias("v"), F.lit(True).alias("open"))
+    state = docs.select("doc_id", *keep, F.lit("").alias("parent"), F.lit("").alias("base"), F.lit("").alias("typed"), none.alias("keys"), F.col("doc").alias("v"), F.lit(True).alias("open"))
     for _ in range(depth):
-        state = _level(state, config)
-    return _described(state.where(F.size("keys") > 0), config)
+        state = _level(state, config, keep)
+    return _described(state.where(F.size("keys") > 0), keep)
 
 
-def _level(state: DataFrame, config: EngineConfig) -> DataFrame:
+def _level(state: DataFrame, config: EngineConfig, keep: tuple[str, ...]) -> DataFrame:
     pair = "struct<key:string,v:variant>"
     objects = F.expr("transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct(e.key as key, e.value as v))")
     arrays = F.expr("transform(try_variant_get(v, '$', 'array<variant>'), (x, i) -> struct(cast(i as string) as key, x as v))")
@@ -62,13 +62,13 @@ def _level(state: DataFrame, config: EngineConfig) -> DataFrame:
     child = F.col("c.key").isNotNull()
     path = F.when(F.col("typed") == "", F.col("c.key")).otherwise(F.concat("typed", F.lit(config.key_sep), "c.key"))
     rows = rows.select(
-        "doc_id", F.when(child, F.col("typed")).otherwise(F.col("parent")).alias("parent"), F.when(child, path).otherwise(F.col("base")).alias("base"), "typed",
+        "doc_id", *keep, F.when(child, F.col("typed")).otherwise(F.col("parent")).alias("parent"), F.when(child, path).otherwise(F.col("base")).alias("base"), "typed",
         F.when(child, F.array_append("keys", F.col("c.key"))).otherwise(F.col("keys")).alias("keys"), F.col("c.v").alias("v"), child.alias("child"),
     )
     kind = _kind(F.col("v"))
     rows = rows.withColumn("kind", F.when(F.col("child"), kind))
     typed = F.when(~F.col("child"), F.col("typed")).when(F.col("kind") == "null", F.col("base")).otherwise(F.concat("base", F.lit(config.type_sep), "kind"))
-    return rows.select("doc_id", "parent", "base", typed.alias("typed"), "keys", "v", (F.col("child") & F.col("kind").isin("obj", "arr")).alias("open"))
+    return rows.select("doc_id", *keep, "parent", "base", typed.alias("typed"), "keys", "v", (F.col("child") & F.col("kind").isin("obj", "arr")).alias("open"))
 
 
 def _schema(v: Column) -> Column:
@@ -88,14 +88,14 @@ def _kind(v: Column) -> Column:
     )
 
 
-def _described(state: DataFrame, config: EngineConfig) -> DataFrame:
+def _described(state: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     rows = state.withColumn("kind", _kind(F.col("v")))
     num, string, flag = (F.col("kind") == k for k in ("num", "str", "bool"))
     # Casts of a variant change types silently, so each is guarded by the kind.
     exact = F.when(num, F.expr("try_variant_get(v, '$', 'decimal(38,9)')"))
     is_int = F.when(num, (_schema(F.col("v")) == "BIGINT") | F.rlike(_schema(F.col("v")), F.lit(r"^DECIMAL\((?:19|[23]\d),0\)$")))
     return rows.select(
-        "doc_id", F.size("keys").alias("depth"), F.col("keys").alias("json_path"), F.col("parent").alias("parent_path"), F.col("typed").alias("typed_path"),
+        "doc_id", *keep, F.size("keys").alias("depth"), F.col("keys").alias("json_path"), F.col("parent").alias("parent_path"), F.col("typed").alias("typed_path"),
         F.col("base").alias("base_path"), "kind", is_int.alias("is_int"), F.when(num, F.expr("try_variant_get(v, '$', 'double')")).alias("num_val"),
         exact.alias("num_exact"), F.when(string, F.expr("try_variant_get(v, '$', 'string')")).alias("str_val"),
         F.when(flag, F.expr("try_variant_get(v, '$', 'boolean')")).alias("bool_val"), F.when(F.col("kind") == "arr", F.col("v")).alias("arr"),
