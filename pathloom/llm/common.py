@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +52,24 @@ def without(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti").select(docs.columns)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, as the rows hold whole texts."""
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, whatever their path: Spark's own file server hands out a small archive of it, once a session."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId not in _shipped and package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="pathloom-code-")) / "pathloom-code.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+
+
+def python_stage(spark: SparkSession) -> None:
+    """Before a stage in Python: ship the code, and bound the Arrow batches by rows, as the rows hold whole texts."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -62,7 +80,7 @@ def map_rows(df: DataFrame, schema: str, function: Callable[[Iterator[tuple]], I
 
     Output leaves in batches of at most ``chunk`` rows or about ``chunk_bytes`` of text, so memory stays bounded.
     """
-    small_batches(df.sparkSession)
+    python_stage(df.sparkSession)
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

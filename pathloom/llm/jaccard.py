@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, text_bytes, words_of, written
+from .common import map_rows, python_stage, text_bytes, words_of, written
 
 WIDTH = 5
 PERCENT = 80
@@ -152,7 +152,7 @@ def token_rows(prints: DataFrame) -> DataFrame:
                 for k in range(0, len(seen), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (*out, seen)], names=["token", "s", "seen"])
 
-    small_batches(prints.sparkSession)
+    python_stage(prints.sparkSession)
     return prints.select("f1", "prefix").mapInArrow(run, "token long, s long, seen boolean")
 
 

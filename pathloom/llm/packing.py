@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import map_rows, python_stage, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -192,6 +192,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[own], offset[own] = row[:, 2] + j // row[:, 1], row[:, 3] + j % row[:, 1] * n
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
+    python_stage(parts.sparkSession)
     return ranked.select(*names, "__bucket", "__rank").mapInArrow(place, schema)
 
 

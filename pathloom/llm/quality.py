@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches
+from .common import map_rows, python_stage
 
 #: Most labelled documents used for fitting, and most lines of each.
 MAX_LABELLED = 2000
@@ -209,7 +209,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], min_content_shar
         for batch in batches:
             yield batch.filter(pa.array([verdict(text or "", model, min_content_share)[6] for text in batch.column(at).to_pylist()], pa.bool_()))
 
-    small_batches(docs.sparkSession)
+    python_stage(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
