@@ -138,7 +138,8 @@ def inherit(found: DataFrame) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     dirs = found.select("dir").distinct().select("dir", F.posexplode(F.array_distinct(ancestors)).alias("depth", "from_dir"))
     nearest = dirs.join(holders, "from_dir").groupBy("dir").agg(F.max_by(F.struct("dir_license", "from_dir"), "depth").alias("near"))
-    out = found.join(nearest, "dir", "left")  # a hot directory's rows are split by adaptive execution, or the small side is broadcast by its size
+    # A written table: its size decides about a broadcast, and otherwise a hot directory's rows can be split by adaptive execution.
+    out = found.join(written(nearest), "dir", "left")
     own = F.col("own_license").isNotNull()
     return out.select(
         "doc_id", "path", "license_file", "own_license", "own_score",
