@@ -135,3 +135,33 @@ def error_by_size(results: DataFrame, sizes: DataFrame) -> DataFrame:
     """For each configuration: the unweighted mean over operators of the mean relative error, with the size of its statistics."""
     by_op = results.groupBy("config_id", "op").agg(F.avg(relative_error("truth", "estimate")).alias("mare"))
     return by_op.groupBy("config_id").agg(F.avg("mare").alias("error")).join(sizes, "config_id")
+
+
+def filtered(results: DataFrame, **settings) -> DataFrame:
+    """Rows whose columns have the given values; '*' is any, and None matches nothing."""
+    for name, wanted in settings.items():
+        if wanted is None:
+            return results.where(F.lit(False))
+        if wanted != "*":
+            results = results.where(F.col(name) == wanted)
+    return results
+
+
+def combined(results: DataFrame, without: tuple[str, ...], *by: str) -> DataFrame:
+    """Log errors of all operators but some as one series for each group: count, mean, spread and quartiles."""
+    err = log_relative_error("truth", "estimate")
+    rows = results.where(~F.col("op").isin(*without)) if without else results
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(err).alias("mean"), F.stddev_pop(err).alias("spread"),
+        F.percentile(err, 0.25).alias("q1"), F.percentile(err, 0.5).alias("q2"), F.percentile(err, 0.75).alias("q3"),
+    )
+
+
+def pruning_comparison(results: DataFrame, strategy: str, threshold: str) -> DataFrame:
+    """Median and p90 of the absolute log error for each threshold of one pruning strategy, in the order of the threshold."""
+    return robust_log_error(results.where(F.col("prune") == strategy), threshold, "op").orderBy(threshold, "op")
+
+
+def bucket_comparison(results: DataFrame) -> DataFrame:
+    """The same for each number of buckets and least frequency of histograms."""
+    return robust_log_error(results.where("stats_type = 'HISTOGRAM'"), "buckets", "min_freq")

@@ -135,3 +135,17 @@ def type_confusion(nodes: DataFrame, count_null: bool = False) -> DataFrame:
     """Number of distinct types at each untyped path."""
     kind = F.col("kind") if count_null else F.when(F.col("kind") != "null", F.col("kind"))
     return nodes.groupBy(F.array_join("json_path", "/").alias("json_path")).agg(F.countDistinct(kind).alias("n_types"))
+
+
+def value_at(path: list[str | int], kind: str) -> Column:
+    """The value at a path of keys and array places in ``doc``, cast to ``kind``; null where the path or the cast fails."""
+    if any(isinstance(k, str) and "'" in k and '"' in k for k in path):
+        raise ValueError("a key with both kinds of quotes cannot be written in a path")
+    quoted = (f"[{k}]" if isinstance(k, int) else f'["{k}"]' if "'" in k else f"['{k}']" for k in path)
+    steps = "".join(quoted)
+    return F.try_variant_get("doc", f"${steps}", kind)
+
+
+def distinct_at(docs: DataFrame, path: list[str | int], kind: str) -> DataFrame:
+    """Number of distinct values at one path, without flattening."""
+    return docs.agg(F.countDistinct(value_at(path, kind)).alias("ndv"))

@@ -333,4 +333,8 @@ ORACLE_SQL: dict[str, str] = {
     "metric_error_by_size": MADE + ", p AS (SELECT config_id, op, avg(rel) AS m, count(*) AS n FROM y GROUP BY ALL) SELECT config_id, round(avg(m), 6) AS error, CAST(sum(n) AS BIGINT) AS stats_bytes FROM p GROUP BY config_id",
     "metric_trimmed": MADE + """, a AS (SELECT round(lg, 6) AS x FROM y), b AS (SELECT x FROM a WHERE x < (SELECT quantile_cont(x, 0.95) FROM a)), c AS (SELECT x FROM b WHERE x > (SELECT quantile_cont(x, 0.05) FROM b))
         SELECT count(*) AS n, round(min(x), 6) AS low, round(max(x), 6) AS high FROM c""",
+    "metric_combined": MADE + "SELECT config_id, count(*) AS n, round(avg(lg), 6) AS mean, round(stddev_pop(lg), 6) AS spread, round(quantile_cont(lg, 0.25), 6) AS q1, round(quantile_cont(lg, 0.5), 6) AS q2, round(quantile_cont(lg, 0.75), 6) AS q3 FROM y WHERE op <> 'A' GROUP BY config_id",
+    "metric_filtered": MADE + "SELECT op, config_id, count(*) AS n FROM y WHERE op = 'R' GROUP BY ALL",
+    "distinct_at_paths": _with("orders") + """SELECT 'customer' AS name, count(DISTINCT c_custkey) AS ndv FROM src UNION ALL SELECT 'region', count(DISTINCT r_name) FROM src
+        UNION ALL SELECT 'first', count(DISTINCT l_quantity) FROM items WHERE i = '0' UNION ALL SELECT 'none', 0""",
 }

@@ -219,6 +219,14 @@ def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.trimmed(rows, "x", 0.05, 0.95).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")))
 
 
+def distinct_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values at single paths, read straight from the documents."""
+    docs, _ = fixtures.collection(spark, sf_dir, "orders")
+    paths = {"customer": (["customer", "c_custkey"], "bigint"), "region": (["customer", "nation", "region", "r_name"], "string"), "first": (["items", 0, "l_quantity"], "double"), "none": (["items", 99, "x"], "string")}
+    found = [flatten.distinct_at(docs, *p).select(F.lit(n).alias("name"), "ndv") for n, p in paths.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 QUERIES: dict[str, Query] = {
     **{f"path_inventory_{n}": path_inventory(n) for n in fixtures.FIXTURES},
     **{f"basic_stats_{n}": basic_stats(n) for n in fixtures.FIXTURES},
@@ -260,4 +268,7 @@ QUERIES: dict[str, Query] = {
     "metric_error_histogram": lambda s, d: _rounded(metrics.error_histogram(made_results(s, d), 0.5, "op")),
     "metric_error_by_size": error_by_size,
     "metric_trimmed": trimmed,
+    "metric_combined": lambda s, d: _rounded(metrics.combined(made_results(s, d), ("A",), "config_id")),
+    "metric_filtered": lambda s, d: metrics.filtered(made_results(s, d), op="R", config_id="*").groupBy("op", "config_id").agg(F.count("*").alias("n")),
+    "distinct_at_paths": distinct_at,
 }

@@ -219,3 +219,19 @@ def test_sinks(spark, tmp_path):
     documents.write_stats(found, meta, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/stats")).count() == found.count()
     assert documents.first_documents(docs_of(spark, BUILDER), 3).count() == 3
+
+
+def test_result_filters(spark):
+    from pathloom.functions import metrics
+
+    rows = spark.createDataFrame([("eq", "HISTOGRAM", "", 8, 0.1, 10, 10), ("eq", "BASIC", "MIN_FREQ", 8, 0.1, 10, 20), ("lt", "HISTOGRAM", "MIN_FREQ", 16, 0.2, 0, 0)], "op string, stats_type string, prune string, buckets int, min_freq double, truth long, estimate long")
+    assert metrics.filtered(rows, op="eq", prune="*").count() == 2 and metrics.filtered(rows, op=None).count() == 0
+    assert metrics.matching(rows, op=("eq", "lt"), stats_type="HISTOGRAM", prune=None).count() == 2
+    assert [r["min_freq"] for r in metrics.pruning_comparison(rows, "MIN_FREQ", "min_freq").collect()] == [0.1, 0.2]
+    assert metrics.bucket_comparison(rows).count() == 2
+
+
+def test_values_at_paths(spark):
+    docs = docs_of(spark, [{"a": {"b c": [1, {"x'y": "z"}]}}, {"a": 5}, {}])
+    assert [r[0] for r in docs.select(flatten.value_at(["a", "b c", 0], "bigint")).collect()] == [1, None, None]
+    assert flatten.distinct_at(docs, ["a", "b c", 1, "x'y"], "string").first()["ndv"] == 1
