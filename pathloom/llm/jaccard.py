@@ -116,30 +116,24 @@ def _least_shared(n: str, percent: int, prefix_percent: int) -> str:
     return f"greatest(1, ({max(0, percent + prefix_percent - 100) * percent} * {n} + 9999) div 10000)"
 
 
-def whole_sets(texts: DataFrame, width: int) -> DataFrame:
-    """f1, prefix: all tokens of the sets of ``texts`` (bytes)."""
+def token_rows(rows: DataFrame, width: int | None = None) -> DataFrame:
+    """token, s (the set's f1), seen: a row for each token.
 
-    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for (text,) in rows:
-            tokens = shingle_set(text, width)
-            if len(tokens):
-                yield _fingerprint(tokens)[0], tokens.tobytes()
-
-    return map_rows(texts, "f1 long, prefix binary", each)
-
-
-def token_rows(prints: DataFrame) -> DataFrame:
-    """token, s (the set's f1), seen: a row for each token of ``prints`` (f1, prefix).
-
-    Within a batch each set comes once. A token that several sets of a batch have is known to be shared: all of them get a row with ``seen``,
-    and only one further row goes on to meet the other batches.
+    ``rows`` has f1 and the tokens of sets, or, with ``width``, texts as bytes whose whole sets are meant. Within a batch each set comes once. A
+    token that several sets of a batch have is known to be shared: all of them get a row with ``seen``, and only one further row goes on to
+    meet the other batches.
     """
 
+    def sets_of(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        if width is None:
+            given = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            return {s: np.frombuffer(tokens, np.int64) for s, tokens in given if s is not None}
+        every = (shingle_set(text, width) for text in batch.column(0).to_pylist())
+        return {_fingerprint(tokens)[0]: tokens.view(np.int64) for tokens in every if len(tokens)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            sets = {s: np.frombuffer(tokens, np.int64) for s, tokens in sets.items() if s is not None}
-            if sets:
+            if sets := sets_of(batch):
                 s = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(t) for t in sets.values()])
                 token = np.concatenate(list(sets.values()))
                 order = np.argsort(token, kind="stable")
@@ -147,18 +141,18 @@ def token_rows(prints: DataFrame) -> DataFrame:
                 first = np.r_[True, token[1:] != token[:-1]]
                 many = np.diff(np.r_[np.nonzero(first)[0], len(token)])
                 known = np.repeat(many > 1, many)
-                out = [np.r_[x[first], x[known]] for x in (token, s)]
-                seen = np.r_[np.zeros(first.sum(), bool), np.ones(known.sum(), bool)]
-                for k in range(0, len(seen), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (*out, seen)], names=["token", "s", "seen"])
+                for keep, seen in ((first, False), (known, True)):
+                    a, b = token[keep], s[keep]
+                    for k in range(0, len(a), 50_000):
+                        own = a[k : k + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(b[k : k + 50_000]), pa.array(np.full(len(own), seen))], names=["token", "s", "seen"])
 
-    python_stage(prints.sparkSession)
-    return prints.select("f1", "prefix").mapInArrow(run, "token long, s long, seen boolean")
+    python_stage(rows.sparkSession)
+    return rows.mapInArrow(run, "token long, s long, seen boolean")
 
 
-def shared_tokens(prints: DataFrame, sizes: DataFrame, percent: int, prefix_percent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, s) of prefix tokens that several sets have; the sets s that share enough of theirs to link at all."""
-    rows = token_rows(prints)
+def shared_tokens(rows: DataFrame, sizes: DataFrame, percent: int, prefix_percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``token_rows``: (token, s) of prefix tokens that several sets have; the sets s that share enough of theirs to link at all."""
     of_token = Window.partitionBy("token")
     met = rows.where("not seen").select("token", "s").withColumn("low", F.min("s").over(of_token)).withColumn("high", F.max("s").over(of_token)).where("low != high")
     shared = written(met.select("token", "s").unionByName(rows.where("seen").select("token", "s")))
@@ -179,9 +173,9 @@ def texts_of(docs: DataFrame, keys: DataFrame, most: int = BROADCAST_ROWS) -> Da
 
 def candidate_groups(docs: DataFrame, prints: DataFrame, keys: DataFrame, width: int, percent: int, prefix_percent: int) -> DataFrame:
     """s, grp: the sets that may link, and the group in which all their links lie. ``keys`` has s, n and rep for each set."""
-    _, enough = shared_tokens(prints, keys, percent, prefix_percent)
+    _, enough = shared_tokens(token_rows(prints.select("f1", "prefix")), keys, percent, prefix_percent)
     left = keys.join(enough, "s")
-    shared, enough = shared_tokens(whole_sets(texts_of(docs, left.select("rep")).select("text"), width), left, percent, 100)
+    shared, enough = shared_tokens(token_rows(texts_of(docs, left.select("rep")).select("text"), width), left, percent, 100)
     # Stars among the remaining sets: the smallest set of each token is its hub. The join's hot tokens are split by adaptive execution.
     shared = shared.join(enough, "s")
     hub = written(shared.groupBy("token").agg(F.min("s").alias("hub")))  # a table, so that both sides of the join are shuffled for it and can be split
