@@ -54,7 +54,7 @@ class _WordHashes(dict):
     """Hashes of words, computed when first asked for; forgotten when there are very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

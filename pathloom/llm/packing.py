@@ -117,10 +117,8 @@ def encoder(vocabulary: str):
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        slow, fast = Tokenizer.from_file(vocabulary), None
+        fast, slow = None, []
         ranks = re.sub(r"\.json$", ".tiktoken", vocabulary)
         if ranks != vocabulary and os.path.exists(ranks):
             with open(ranks, "rb") as lines:
@@ -129,9 +127,18 @@ def encoder(vocabulary: str):
         with open(vocabulary, encoding="utf-8") as f:
             special = [t["content"] for t in json.load(f).get("added_tokens", [])]
 
+        def exact(text: str) -> list[int]:
+            """The first library, loaded when a text needs it: it takes as much memory as all the rest."""
+            if not slow:
+                from tokenizers import Tokenizer
+
+                os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+                slow.append(Tokenizer.from_file(vocabulary))
+            return slow[0].encode(text, add_special_tokens=False).ids
+
         def encode(text: str) -> list[int]:
             if fast is None or any(s in text for s in special) or _long_run(text):
-                return slow.encode(text, add_special_tokens=False).ids
+                return exact(text)
             return fast.encode_ordinary(text)
 
         _ENCODERS[vocabulary] = (encode,)
