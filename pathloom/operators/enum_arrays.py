@@ -38,13 +38,13 @@ def element_counts(found: DataFrame) -> DataFrame:
 
 def enum_stats(nodes: DataFrame, config: EngineConfig) -> DataFrame:
     """STAT_COLUMNS of the enum arrays: count is the number of arrays; no min and max."""
-    found = candidates(nodes)
+    found = candidates(nodes).select("path", "kind", "e").persist()  # read by the counts and the elements' aggregations
     out = found.groupBy("path", "kind").agg(F.count("*").alias("count"), F.lit(0).cast("bigint").alias("null_count"))
     if config.stats_type is StatType.NDV_HYPERLOG:
         shown = F.explode(F.expr("transform(e, x -> cast(x as string))"))
         out = out.join(found.select("path", shown.alias("x")).groupBy("path").agg(F.approx_count_distinct("x", config.hll_error).alias("ndv")), "path", "left")
     elif config.stats_type is not StatType.BASIC:
-        values = element_counts(found)
+        values = element_counts(found).persist()
         out = out.join(stats.distinct_counts(values), "path", "left")
         if config.stats_type is StatType.NDV_WITH_MODE:
             out = out.join(stats.modes(values), "path", "left")

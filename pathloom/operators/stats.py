@@ -18,12 +18,30 @@ STAT_COLUMNS = (
 )
 
 
-def value_counts(nodes: DataFrame) -> DataFrame:
-    """typed_path, kind, the value in its column, cnt: for numbers, strings and bools."""
-    values = nodes.where(F.col("kind").isin("num", "str", "bool"))
+def counted(nodes: DataFrame) -> DataFrame:
+    """typed_path, base_path, kind, the value in its column, cnt: one row for each value of a path, and one for each container or null path.
+
+    All statistics of a build follow from this table, so that documents are flattened once if it is persisted.
+    """
     # -0.0 and 0.0 are one number
-    values = values.withColumn("num_val", F.when(F.col("num_val") == 0, 0.0).otherwise(F.col("num_val")))
-    return values.groupBy(F.col("typed_path").alias("path"), "kind", *VALUE).agg(F.count("*").alias("cnt"))
+    rows = nodes.withColumn("num_val", F.when(F.col("num_val") == 0, 0.0).otherwise(F.col("num_val")))
+    return rows.groupBy("typed_path", "base_path", "kind", *VALUE).agg(F.count("*").alias("cnt"))
+
+
+def value_counts(nodes: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """path, kind, the value in its column, cnt: for numbers, strings and bools."""
+    rows = (counted(nodes) if counts is None else counts).where(F.col("kind").isin("num", "str", "bool"))
+    return rows.select(F.col("typed_path").alias("path"), "kind", *VALUE, "cnt")
+
+
+def path_totals(counts: DataFrame) -> DataFrame:
+    """``path_counts`` from ``counted`` rows."""
+    both = counts.select("kind", "cnt", F.explode(F.array(
+        F.struct(F.col("base_path").alias("path"), F.lit(None).cast("string").alias("k")),
+        F.struct(F.when(F.col("kind") != "null", F.col("typed_path")).alias("path"), F.col("kind").alias("k")),
+    )).alias("p")).where("p.path is not null")
+    null = (F.col("kind") == "null") & F.col("p.k").isNull()
+    return both.groupBy(F.col("p.path").alias("path"), F.col("p.k").alias("kind")).agg(F.sum("cnt").alias("count"), F.sum(F.when(null, F.col("cnt")).otherwise(0)).alias("null_count"))
 
 
 def path_counts(nodes: DataFrame) -> DataFrame:
@@ -51,11 +69,10 @@ def distinct_counts(values: DataFrame) -> DataFrame:
     return values.groupBy("path").agg(F.count("*").alias("ndv"))
 
 
-def hll_counts(nodes: DataFrame, error: float) -> DataFrame:
-    """Estimated number of distinct values (HyperLogLog++)."""
+def hll_counts(values: DataFrame, error: float) -> DataFrame:
+    """Estimated number of distinct values (HyperLogLog++) from ``value_counts``; repeats do not change a sketch."""
     shown = F.coalesce(F.col("num_exact").cast("string"), F.col("num_val").cast("string"), F.col("str_val"), F.col("bool_val").cast("string"))
-    values = nodes.where(F.col("kind").isin("num", "str", "bool"))
-    return values.groupBy(F.col("typed_path").alias("path")).agg(F.approx_count_distinct(shown, error).alias("ndv"))
+    return values.groupBy("path").agg(F.approx_count_distinct(shown, error).alias("ndv"))
 
 
 def modes(values: DataFrame) -> DataFrame:
@@ -66,13 +83,17 @@ def modes(values: DataFrame) -> DataFrame:
     return tied.groupBy("path").agg(F.min_by(value, F.struct("num_val", "str_val", "bool_val")).alias("mode"))
 
 
-def key_stats(nodes: DataFrame, config: EngineConfig, values: DataFrame | None = None) -> DataFrame:
-    """STAT_COLUMNS for every base and typed path of the given nodes."""
-    values = value_counts(nodes) if values is None else values
-    out = path_counts(nodes).join(ranges(values), "path", "left")
+def key_stats(nodes: DataFrame, config: EngineConfig) -> DataFrame:
+    """STAT_COLUMNS for every base and typed path of the given nodes.
+
+    The counts by value are persisted, as several aggregations read them; ``spark.catalog.clearCache()`` lets them go.
+    """
+    counts = counted(nodes).persist()
+    values = value_counts(nodes, counts)
+    out = path_totals(counts).join(ranges(values), "path", "left")
     kind = config.stats_type
     if kind is StatType.NDV_HYPERLOG:
-        out = out.join(hll_counts(nodes, config.hll_error), "path", "left")
+        out = out.join(hll_counts(values, config.hll_error), "path", "left")
     elif kind is not StatType.BASIC:
         out = out.join(distinct_counts(values), "path", "left")
     if kind is StatType.NDV_WITH_MODE:

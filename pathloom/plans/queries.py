@@ -89,7 +89,8 @@ def hll_bound(name: str) -> Query:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         own = nodes(spark, d, name)
-        both = stats.distinct_counts(stats.value_counts(own)).join(stats.hll_counts(own, 0.05).withColumnRenamed("ndv", "guess"), "path")
+        values = stats.value_counts(own)
+        both = stats.distinct_counts(values).join(stats.hll_counts(values, 0.05).withColumnRenamed("ndv", "guess"), "path")
         return both.select("path", (F.abs(F.col("guess") - F.col("ndv")) <= F.greatest(F.lit(1), 0.15 * F.col("ndv"))).alias("within"))
 
     return run
