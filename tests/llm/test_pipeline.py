@@ -52,3 +52,16 @@ def test_odd_rows(spark, sf_dir, docs, empty):
     near = pipeline.near_duplicate_stage(spark, docs, sf_dir)
     assert near.where("doc_id = 1000008").count() == 1 and near.where("doc_id is null").count() == 1
     assert {r[0] for r in near.where("doc_id between 1000003 and 1000007").select("doc_id").collect()} == {1000003, 1000005}
+
+
+def test_rows_of_one_id_and_rows_without_id(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (3, a), (5, a), (5, b), (7, c), (7, c.upper()), (8, ""), (8, ""), (8, None), (8, " "), (9, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, other string")
+    got = [(r["doc_id"], (r["text"] or "").lower(), r["other"]) for r in pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()]
+    expected = [(None, a), (None, b), (None, c), (3, a), (5, b), (7, c), (8, ""), (8, " "), (9, "")]
+    assert sorted(got, key=str) == sorted([(i, t, "x") for i, t in expected], key=str)
+    item = table(spark, sf_dir, "benchmark").where("item_id is not null").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, item), (1, a), (2, b), (None, item)], "doc_id long, text string")
+    got = [tuple(r) for r in pipeline.decontamination_stage(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, item)], key=str)
