@@ -5,6 +5,9 @@ one word for one word, so that a re-parameterised question has the same template
 item is hash-joined with the documents' windows. Of those, only windows around an *anchor* are built: each benchmark window names its longest
 literal word, and a document's window that equals it must have that word in the same place; so the join on single words loses nothing.
 
+Windows are read in three ways, each joined with its like: as templates; as templates in which capitalised words that open sentences are names too;
+and as plain lower-case words, so that a copy is found whatever its case.
+
 Windows that match along one diagonal (same shift between document and item) form an occurrence. Its slots must be consistent: equal values in
 the item's slots stand for equal values in the document's. In an inconsistent occurrence only the windows without slots count. A document is
 contaminated by an item when at least ``RUN`` of the item's windows occur in it (about 13 words in a row), or half of them if it has fewer.
@@ -31,6 +34,8 @@ BROADCAST_WINDOWS = 200_000
 
 #: Placeholders. Words that begin with a digit are numbers, so these three cannot come from a text.
 NUMBER, NAME, UNIT = "0", "1", "2"
+#: How a window's words are read: TEMPLATE and OPENERS have slots, EXACT has the words in lower case.
+TEMPLATE, OPENERS, EXACT = 0, 1, 2
 #: Units that may follow a number.
 UNITS = (
     "mm cm m km mi ft in inch inches foot feet yd mile miles metre metres meter meters kilometre kilometres kilometers g kg mg lb lbs oz pound pounds gram grams "
@@ -48,17 +53,41 @@ def _cut(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def template_words(text: Column) -> Column:
-    """Template words; in the same places as ``plain_words``."""
+def marked_words(text: Column) -> Column:
+    """Words in lower case, each in one place for all readings: numbers as 0..0, names as 1.., units as 2..0, words that only their place at the start
+    of a sentence may have capitalised as 3.., all others as they are."""
     t = _plain(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])[0-9][\p{L}\p{N}]*", NUMBER)
-    t = F.regexp_replace(t, rf"(?<=(?<![\p{{L}}\p{{N}}]){NUMBER}[  ])(?i:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}0-9,][ ])\p{Lu}\p{Ll}[\p{L}\p{N}]*", NAME)
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(?<v>[0-9][\p{L}\p{N}]*)", "0${v}0")
+    t = F.regexp_replace(t, rf"(?<n>(?<![\p{{L}}\p{{N}}])0[\p{{L}}\p{{N}}]*[  ])(?<u>(?i:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))}))(?![\p{{L}}\p{{N}}])", "${n}2${u}0")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll}0-9,][ ])(?<w>\p{Lu}\p{Ll}[\p{L}\p{N}]*)", "1${w}")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(?<w>\p{Lu}\p{Ll}[\p{L}\p{N}]*)", "3${w}")
     return _cut(t)
 
 
+def _first(word: Column) -> Column:
+    return F.substring(word, 1, 1)
+
+
+def _value(word: Column) -> Column:
+    """The word itself, without marks."""
+    first = _first(word)
+    return F.when(first.isin("0", "2"), F.substr(word, F.lit(2), F.length(word) - 2)).when(first.isin("1", "3"), F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
+def _read(word: Column, reading: Column) -> Column:
+    """A marked word in a reading: TEMPLATE, OPENERS (words that open sentences are names too), or EXACT (numbers keep their marks)."""
+    first = _first(word)
+    slot = F.when(first == "3", F.when(reading == OPENERS, NAME).otherwise(_value(word))).when(first.isin(NUMBER, NAME, UNIT), first).otherwise(word)
+    return F.when(reading == EXACT, F.when(first == NUMBER, word).otherwise(_value(word))).otherwise(slot)
+
+
+def template_words(text: Column) -> Column:
+    """Template words; in the same places as ``plain_words``."""
+    return F.transform(marked_words(text), lambda w: _read(w, F.lit(TEMPLATE)))
+
+
 def plain_words(text: Column) -> Column:
-    return _cut(_plain(F.coalesce(text, F.lit(""))))
+    return F.transform(marked_words(text), _value)
 
 
 def _is_slot(word: Column) -> Column:
@@ -66,40 +95,55 @@ def _is_slot(word: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, q (place), n_windows, win (template), plain, slots, anchor, off: the windows that have enough literal words."""
+    """item_id, q (place), n_windows, reading, win (words in that reading), plain, slots, anchor (literal word), off."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    items = items.select("item_id", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p")).where(F.size("t") >= LEAST)
-    width = F.least(F.lit(WIDTH), F.size("t"))
-    spots = items.select("item_id", "t", "p", F.explode(F.sequence(F.lit(0), F.size("t") - width)).alias("q"), width.alias("width"))
-    spots = spots.select("item_id", "q", F.expr("slice(t, q + 1, width)").alias("win"), F.expr("slice(p, q + 1, width)").alias("plain"))
+    items = items.select("item_id", marked_words(F.col("text")).alias("m")).where(F.size("m") >= LEAST)
+    width = F.least(F.lit(WIDTH), F.size("m"))
+    spots = items.select("item_id", "m", F.explode(F.sequence(F.lit(0), F.size("m") - width)).alias("q"), width.alias("width"))
+    spots = spots.select("item_id", "q", F.expr("slice(m, q + 1, width)").alias("m"))
+    readings = F.explode(F.array(*(F.lit(x) for x in (TEMPLATE, OPENERS, EXACT))))
+    spots = spots.withColumn("rich", _rich(F.transform("m", lambda w: _read(w, F.lit(TEMPLATE))))).where("rich").withColumn("reading", readings)
+    # Without names and openers the two templates are one.
+    spots = spots.where((F.col("reading") != OPENERS) | F.exists("m", lambda w: _first(w).isin("1", "3")))
+    spots = spots.withColumn("win", F.transform("m", lambda w: _read(w, F.col("reading")))).withColumn("plain", F.transform("m", _value))
     literal = F.filter(F.transform("win", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("word"), i.alias("off"))), lambda x: ~_is_slot(x["word"]))
-    spots = spots.withColumn("literal", literal).where(F.size("literal") * 2 >= F.size("win"))
+    spots = spots.withColumn("literal", literal).where((F.col("reading") == EXACT) | _rich(F.col("win")))
     best = F.array_max("literal")
-    spots = spots.select("item_id", "q", "win", "plain", F.exists("win", _is_slot).alias("slots"), best["word"].alias("anchor"), best["off"].alias("off"))
+    spots = spots.select("item_id", "q", "reading", "win", "plain", F.exists("win", _is_slot).alias("slots"), best["word"].alias("anchor"), best["off"].alias("off"))
     many = spots.groupBy("item_id").agg(F.countDistinct("q").alias("n_windows"))
     return spots.join(many, "item_id")
 
 
+def _rich(win: Column) -> Column:
+    """At least half of the words are literal."""
+    return F.size(F.filter(win, lambda w: ~_is_slot(w))) * 2 >= F.size(win)
+
+
 def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool) -> DataFrame:
-    """doc_id, item_id, q, n_windows, start, slots, dplain, plain: windows of documents that equal windows of items."""
-    words = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", template_words(F.col("text")).alias("t"))
+    """doc_id, item_id, q, n_windows, reading, start, slots, dplain, plain, win: windows of documents that equal windows of items."""
+    words = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), marked_words(F.col("text")).alias("m"))
     if by_broadcast:
-        anchors = windows.select("anchor", "off", F.size("win").alias("width")).distinct()
-        placed = words.select("doc_id", "text", "t", F.posexplode("t").alias("pos", "anchor")).join(F.broadcast(anchors), "anchor")
-        placed = placed.where("pos >= off and pos - off + width <= size(t)").select("doc_id", "text", (F.col("pos") - F.col("off")).alias("start"), "width", F.expr("slice(t, greatest(pos - off + 1, 1), width)").alias("win"))
+        # The marks that the anchor may have in a document: a name or unit is literal in the exact reading alone, an opener also in the template.
+        unit = F.when((F.col("reading") == EXACT) & F.rlike("anchor", F.lit("^[^0]")), F.array(F.concat(F.lit("1"), "anchor"), F.concat(F.lit("2"), "anchor", F.lit("0"))))
+        opener = F.when((F.col("reading") != OPENERS) & F.rlike("anchor", F.lit("^[^0]")), F.array(F.concat(F.lit("3"), "anchor")))
+        none = F.array().cast("array<string>")
+        forms = F.concat(F.array("anchor"), F.coalesce(unit, none), F.coalesce(opener, none))
+        anchors = windows.select(F.explode(forms).alias("anchor"), "off", F.size("win").alias("width"), "reading").distinct()
+        placed = words.select("doc_id", "m", F.posexplode("m").alias("pos", "anchor")).join(F.broadcast(anchors), "anchor")
+        placed = placed.where("pos >= off and pos - off + width <= size(m)").select("doc_id", "reading", (F.col("pos") - F.col("off")).alias("start"), F.expr("slice(m, greatest(pos - off + 1, 1), width)").alias("m"))
     else:
         widths = F.array(*(F.lit(w) for w in range(LEAST, WIDTH + 1)))
-        placed = words.select("doc_id", "text", "t", F.explode(widths).alias("width")).where("width <= size(t)")
-        placed = placed.select("doc_id", "text", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("start"))
-        # texts stay behind: the shuffle has a hash for each window
-        placed = placed.select("doc_id", F.col("text").substr(0, 0).alias("text"), "start", "width", F.expr("slice(t, start + 1, width)").alias("win"))
-    hashed = windows.withColumn("h", F.xxhash64("win")).withColumnRenamed("win", "item_win").drop("anchor", "off")
-    found = placed.withColumn("h", F.xxhash64("win")).join(F.broadcast(hashed) if by_broadcast else hashed, "h").where("win = item_win")
-    if not by_broadcast:  # the few documents that matched give their texts
-        found = found.drop("text").join(words.select("doc_id", "text"), "doc_id")
+        placed = words.select("doc_id", "m", F.explode(widths).alias("width")).where("width <= size(m)")
+        placed = placed.select("doc_id", "m", "width", F.explode(F.sequence(F.lit(0), F.size("m") - F.col("width"))).alias("start"))
+        placed = placed.select("doc_id", "start", F.expr("slice(m, start + 1, width)").alias("m"))
+        placed = placed.withColumn("reading", F.explode(F.array(*(F.lit(x) for x in (TEMPLATE, OPENERS, EXACT)))))
+        placed = placed.where((F.col("reading") != OPENERS) | F.exists("m", lambda w: _first(w).isin("1", "3")))
+    placed = placed.withColumn("win", F.transform("m", lambda w: _read(w, F.col("reading"))))
+    hashed = windows.withColumn("h", F.xxhash64("reading", "win")).withColumnsRenamed({"win": "item_win", "reading": "item_reading"}).drop("anchor", "off")
+    found = placed.withColumn("h", F.xxhash64("reading", "win")).join(F.broadcast(hashed) if by_broadcast else hashed, "h").where("win = item_win and reading = item_reading")
     # Values of the slots are wanted only where the window has some.
-    own = F.when(F.col("slots"), F.slice(plain_words(F.col("text")), F.col("start") + 1, F.col("width")))
-    return found.select("doc_id", "item_id", "q", "n_windows", "start", "slots", own.alias("dplain"), "plain", F.col("item_win").alias("win"))
+    own = F.when(F.col("slots"), F.transform("m", _value))
+    return found.select("doc_id", "item_id", "q", "n_windows", "reading", "start", "slots", own.alias("dplain"), "plain", "win")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -114,16 +158,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
         lambda x: _is_slot(x["kind"]),
     ))
     # An item has few windows, so what is gathered for an occurrence is small.
-    runs = found.groupBy("doc_id", "item_id", "n_windows", (F.col("start") - F.col("q")).alias("shift")).agg(
+    # Each of the two templates must be consistent for itself; exact windows have no slots and count with either.
+    runs = found.groupBy("doc_id", "item_id", "n_windows", (F.col("start") - F.col("q")).alias("shift"), (F.col("reading") == OPENERS).alias("openers")).agg(
         F.collect_set("q").alias("all_q"),
         F.collect_set(F.when(~F.col("slots"), F.col("q"))).alias("literal_q"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     sources = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["item"]))))
     runs = runs.withColumn("consistent", sources == F.size("pairs"))
-    runs = runs.select("doc_id", "item_id", "n_windows", F.when(F.col("consistent"), F.col("all_q")).otherwise(F.col("literal_q")).alias("q"), (F.col("consistent") & F.exists("pairs", lambda x: x["item"] != x["doc"])).alias("changed"))
+    runs = runs.select("doc_id", "item_id", "n_windows", "shift", F.when(F.col("consistent"), F.col("all_q")).otherwise(F.col("literal_q")).alias("q"), (F.col("consistent") & F.exists("pairs", lambda x: x["item"] != x["doc"])).alias("changed"))
     hits = runs.where(F.size("q") > 0).groupBy("doc_id", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("q")))).cast("long").alias("n_hits"), F.max("changed").alias("changed"), F.count("*").alias("n_occurrences")
+        F.size(F.array_distinct(F.flatten(F.collect_set("q")))).cast("long").alias("n_hits"), F.max("changed").alias("changed"), F.size(F.collect_set("shift")).cast("long").alias("n_occurrences")
     )
     enough = F.least(F.lit(RUN), F.ceil(F.col("n_windows") / 2))
     return hits.where(F.col("n_hits") >= enough).select("doc_id", "item_id", "n_hits", "n_windows", "changed", "n_occurrences")

@@ -65,3 +65,16 @@ def test_no_python_and_empty(tables, docs, empty):
     plan = decontam.decontaminate(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert decontam.decontaminate(empty, items).count() == 0 and decontam.decontaminate(docs, items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [200_000, 0], ids=["broadcast", "shuffle"])
+def test_case_and_names_that_open_sentences(spark, most):
+    german = "Der alte Müller trug am Morgen seinen Sack mit Mehl durch den Wald zum Markt in der Stadt und traf dort den Bauern und dessen Frau."
+    tom = "Tom has 5 apples and pears. Tom gives 2 apples away. Tom buys 4 more pears. Tom eats 3 apples now. Tom keeps the rest."
+    anna = "Anna has 7 apples and pears. Anna gives 6 apples away. Anna buys 8 more pears. Anna eats 9 apples now. Anna keeps the rest."
+    mixed = anna.replace("Anna gives", "Berta gives").replace("Anna buys", "Carla buys")
+    items = spark.createDataFrame([(1, german), (2, tom)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: " + german.lower()), (2, german.upper()), (3, anna), (4, mixed), (5, tom.lower())], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.decontaminate(docs, items, most).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 2)}
+    assert got[3, 2]["changed"] and not got[1, 1]["changed"] and got[1, 1]["n_occurrences"] == 1
