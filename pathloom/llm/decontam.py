@@ -10,13 +10,14 @@ and as plain lower-case words, so that a copy is found whatever its case.
 
 Windows that match along one diagonal (same shift between document and item) form an occurrence. Its slots must be consistent: equal values in
 the item's slots stand for equal values in the document's. In an inconsistent occurrence only the windows without slots count. A document is
-contaminated by an item when at least ``RUN`` of the item's windows occur in it (about 13 words in a row), or half of them if it has fewer.
+contaminated by an item when at least ``RUN`` of the item's windows occur in it (about 13 words in a row), or half of them if it has fewer; or of
+those windows alone that have enough literal words. Windows with fewer literal words than slots have no template and are matched word for word.
 
 The benchmark's windows are broadcast while there are no more than ``BROADCAST_WINDOWS``; beyond that all windows of the documents are hashed
 and joined by a shuffle, with the same result.
 
-Defined cases: null text counts as empty and matches nothing; items with fewer than ``LEAST`` template words or too few literal words in any
-window cannot be found and are passed over; items shorter than a window are one window; repeated rows count once; rows without doc_id or
+Defined cases: null text counts as empty and matches nothing; items with fewer than ``LEAST`` words
+are passed over, as so short a phrase occurs in clean texts too; items shorter than a window are one window; repeated rows count once; rows without doc_id or
 item_id are passed over; empty tables give an empty result; further columns do not matter.
 """
 
@@ -95,22 +96,22 @@ def _is_slot(word: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, q (place), n_windows, reading, win (words in that reading), plain, slots, anchor (literal word), off."""
+    """item_id, q (place), n_windows, n_rich (those with enough literal words), rich, reading, win (words in that reading), plain, slots, anchor (literal word), off."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     items = items.select("item_id", marked_words(F.col("text")).alias("m")).where(F.size("m") >= LEAST)
     width = F.least(F.lit(WIDTH), F.size("m"))
     spots = items.select("item_id", "m", F.explode(F.sequence(F.lit(0), F.size("m") - width)).alias("q"), width.alias("width"))
     spots = spots.select("item_id", "q", F.expr("slice(m, q + 1, width)").alias("m"))
     readings = F.explode(F.array(*(F.lit(x) for x in (TEMPLATE, OPENERS, EXACT))))
-    spots = spots.withColumn("rich", _rich(F.transform("m", lambda w: _read(w, F.lit(TEMPLATE))))).where("rich").withColumn("reading", readings)
+    spots = spots.withColumn("rich", _rich(F.transform("m", lambda w: _read(w, F.lit(TEMPLATE))))).withColumn("reading", readings)
     # Without names and openers the two templates are one.
     spots = spots.where((F.col("reading") != OPENERS) | F.exists("m", lambda w: _first(w).isin("1", "3")))
     spots = spots.withColumn("win", F.transform("m", lambda w: _read(w, F.col("reading")))).withColumn("plain", F.transform("m", _value))
     literal = F.filter(F.transform("win", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("word"), i.alias("off"))), lambda x: ~_is_slot(x["word"]))
     spots = spots.withColumn("literal", literal).where((F.col("reading") == EXACT) | _rich(F.col("win")))
     best = F.array_max("literal")
-    spots = spots.select("item_id", "q", "reading", "win", "plain", F.exists("win", _is_slot).alias("slots"), best["word"].alias("anchor"), best["off"].alias("off"))
-    many = spots.groupBy("item_id").agg(F.countDistinct("q").alias("n_windows"))
+    spots = spots.select("item_id", "q", "rich", "reading", "win", "plain", F.exists("win", _is_slot).alias("slots"), best["word"].alias("anchor"), best["off"].alias("off"))
+    many = spots.groupBy("item_id").agg(F.countDistinct("q").alias("n_windows"), F.countDistinct(F.when(F.col("rich"), F.col("q"))).alias("n_rich"))
     return spots.join(many, "item_id")
 
 
@@ -120,7 +121,7 @@ def _rich(win: Column) -> Column:
 
 
 def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool) -> DataFrame:
-    """doc_id, item_id, q, n_windows, reading, start, slots, dplain, plain, win: windows of documents that equal windows of items."""
+    """doc_id, item_id, q, rich, n_windows, n_rich, reading, start, slots, dplain, plain, win: windows of documents that equal windows of items."""
     words = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), marked_words(F.col("text")).alias("m"))
     if by_broadcast:
         # The marks that the anchor may have in a document: a name or unit is literal in the exact reading alone, an opener also in the template.
@@ -129,7 +130,8 @@ def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool) -> DataFram
         none = F.array().cast("array<string>")
         forms = F.concat(F.array("anchor"), F.coalesce(unit, none), F.coalesce(opener, none))
         anchors = windows.select(F.explode(forms).alias("anchor"), "off", F.size("win").alias("width"), "reading").distinct()
-        placed = words.select("doc_id", "m", F.posexplode("m").alias("pos", "anchor")).join(F.broadcast(anchors), "anchor")
+        # outer: else Spark adds a filter that cuts the text a second time
+        placed = words.select("doc_id", "m", F.posexplode_outer("m").alias("pos", "anchor")).join(F.broadcast(anchors), "anchor")
         placed = placed.where("pos >= off and pos - off + width <= size(m)").select("doc_id", "reading", (F.col("pos") - F.col("off")).alias("start"), F.expr("slice(m, greatest(pos - off + 1, 1), width)").alias("m"))
     else:
         widths = F.array(*(F.lit(w) for w in range(LEAST, WIDTH + 1)))
@@ -138,12 +140,13 @@ def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool) -> DataFram
         placed = placed.select("doc_id", "start", F.expr("slice(m, start + 1, width)").alias("m"))
         placed = placed.withColumn("reading", F.explode(F.array(*(F.lit(x) for x in (TEMPLATE, OPENERS, EXACT)))))
         placed = placed.where((F.col("reading") != OPENERS) | F.exists("m", lambda w: _first(w).isin("1", "3")))
-    placed = placed.withColumn("win", F.transform("m", lambda w: _read(w, F.col("reading"))))
+    # Never null, or Spark tests that inside the join on anchors, which then copies whole texts for each word.
+    placed = placed.withColumn("win", F.coalesce(F.transform("m", lambda w: _read(w, F.col("reading"))), F.array().cast("array<string>")))
     hashed = windows.withColumn("h", F.xxhash64("reading", "win")).withColumnsRenamed({"win": "item_win", "reading": "item_reading"}).drop("anchor", "off")
     found = placed.withColumn("h", F.xxhash64("reading", "win")).join(F.broadcast(hashed) if by_broadcast else hashed, "h").where("win = item_win and reading = item_reading")
     # Values of the slots are wanted only where the window has some.
     own = F.when(F.col("slots"), F.transform("m", _value))
-    return found.select("doc_id", "item_id", "q", "n_windows", "reading", "start", "slots", own.alias("dplain"), "plain", "win")
+    return found.select("doc_id", "item_id", "q", "rich", "n_windows", "n_rich", "reading", "start", "slots", own.alias("dplain"), "plain", "win")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -157,18 +160,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
         F.zip_with("win", F.zip_with("plain", "dplain", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda w, v: F.struct(w.alias("kind"), v["item"].alias("item"), v["doc"].alias("doc"))),
         lambda x: _is_slot(x["kind"]),
     ))
+    place = F.struct("q", "rich")
     # An item has few windows, so what is gathered for an occurrence is small.
     # Each of the two templates must be consistent for itself; exact windows have no slots and count with either.
-    runs = found.groupBy("doc_id", "item_id", "n_windows", (F.col("start") - F.col("q")).alias("shift"), (F.col("reading") == OPENERS).alias("openers")).agg(
-        F.collect_set("q").alias("all_q"),
-        F.collect_set(F.when(~F.col("slots"), F.col("q"))).alias("literal_q"),
+    runs = found.groupBy("doc_id", "item_id", "n_windows", "n_rich", (F.col("start") - F.col("q")).alias("shift"), (F.col("reading") == OPENERS).alias("openers")).agg(
+        F.collect_set(place).alias("all_q"),
+        F.collect_set(F.when(~F.col("slots"), place)).alias("literal_q"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     sources = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["item"]))))
     runs = runs.withColumn("consistent", sources == F.size("pairs"))
-    runs = runs.select("doc_id", "item_id", "n_windows", "shift", F.when(F.col("consistent"), F.col("all_q")).otherwise(F.col("literal_q")).alias("q"), (F.col("consistent") & F.exists("pairs", lambda x: x["item"] != x["doc"])).alias("changed"))
-    hits = runs.where(F.size("q") > 0).groupBy("doc_id", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("q")))).cast("long").alias("n_hits"), F.max("changed").alias("changed"), F.size(F.collect_set("shift")).cast("long").alias("n_occurrences")
+    runs = runs.select("doc_id", "item_id", "n_windows", "n_rich", "shift", F.when(F.col("consistent"), F.col("all_q")).otherwise(F.col("literal_q")).alias("q"), (F.col("consistent") & F.exists("pairs", lambda x: x["item"] != x["doc"])).alias("changed"))
+    hits = runs.where(F.size("q") > 0).groupBy("doc_id", "item_id", "n_windows", "n_rich").agg(
+        F.flatten(F.collect_set("q")).alias("q"), F.max("changed").alias("changed"), F.size(F.collect_set("shift")).cast("long").alias("n_occurrences")
     )
-    enough = F.least(F.lit(RUN), F.ceil(F.col("n_windows") / 2))
-    return hits.where(F.col("n_hits") >= enough).select("doc_id", "item_id", "n_hits", "n_windows", "changed", "n_occurrences")
+    rich = F.size(F.array_distinct(F.transform(F.filter("q", lambda x: x["rich"]), lambda x: x["q"])))
+    hits = hits.withColumn("n_hits", F.size(F.array_distinct(F.transform("q", lambda x: x["q"]))).cast("long")).withColumn("rich_hits", rich)
+    enough, enough_rich = (F.least(F.lit(RUN), F.ceil(F.col(n) / 2)) for n in ("n_windows", "n_rich"))
+    found = (F.col("n_hits") >= enough) | ((F.col("n_rich") > 0) & (F.col("rich_hits") >= enough_rich))
+    return hits.where(found).select("doc_id", "item_id", "n_hits", "n_windows", "changed", "n_occurrences")

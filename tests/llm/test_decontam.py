@@ -78,3 +78,12 @@ def test_case_and_names_that_open_sentences(spark, most):
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.decontaminate(docs, items, most).collect()}
     assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 2)}
     assert got[3, 2]["changed"] and not got[1, 1]["changed"] and got[1, 1]["n_occurrences"] == 1
+
+
+@pytest.mark.parametrize("most", [200_000, 0], ids=["broadcast", "shuffle"])
+def test_items_of_numbers_and_names(spark, most):
+    sums, few = "12 + 7 = 19; 15 + 6 = 21; 30 + 4 = 34; 41 + 8 = 49; 52 + 5 = 57", "2 4 8 16 32"
+    items = spark.createDataFrame([(1, sums), (2, ITEMS[7]), (3, few)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"see {sums}, yes"), (2, "Count: " + ITEMS[7] + " done"), (3, f"powers {few} 64"), (4, sums.replace("5", "6")), (5, "2 4 8 16 33")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.decontaminate(docs, items, most).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
