@@ -45,14 +45,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: After the head of a private key: fields such as Proc-Type, and then all up to the END line, or the lines of base64 if there is none.
+_BREAK = r"(?:\\[nr]|[\x09-\x0D\x20])"
+_KEY_BODY = (
+    rf"(?:{_BREAK}*[A-Za-z0-9-]+:\x20[^\x0A\x0D\\]*)*(?:[^-]*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_BREAK}+[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{_BREAK}+[A-Za-z0-9+/]+={{0,2}}(?![^\x09-\x0D\x20\\\"']))?)"
+)
 #: Published forms of further credentials.
 FURTHER = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_KEY_BODY})?"),
     Rule("forge", r"gh[oprsu]_[A-Za-z0-9]{36}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,80}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("login", r"://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/@]{1,64}@"),
+    Rule("login", r"://[^\x00-\x20/:@]*:[^\x00-\x20/@]+@"),
 )
 RULES = BASE + FURTHER
 

@@ -74,3 +74,24 @@ def test_no_python_on_executors(docs, empty):
     plan = secrets.secret_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert secrets.secret_scan(empty).count() == 0
+
+
+def test_whole_keys_and_long_tokens(spark):
+    body = "\n".join("Ab1+/" * 12 + "wxyz" for _ in range(400))
+    head, tail = "-----BEGIN RSA PRIVATE " + "KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n"
+    long, chat = "p" * 300, "xox" + "b-" + "1234567890-" * 30
+    texts = {
+        f"a {head}\n{body}\nab==\n{tail} b": "a [PEM] b",
+        f"a {head}\n{fields}{body}\n{tail} b": "a [PEM] b",
+        f"a {head}\n{body}\nab==\nThis is text": "a [PEM]\nThis is text",
+        f"a {head}\\n{body[:64]}\\n{tail}\\n": "a [PEM]\\n",
+        f"a {head} is a line": "a [PEM] is a line",
+        f"postgres://u:{long}@host {chat} redis://:pw@host": "postgres[LOGIN]host [CHAT] redis[LOGIN]host",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+    found = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(df).collect()}
+    every = [(r.kind, re.compile(r.regex, re.A), r.group, r.least) for r in secrets.RULES]
+    assert all(found[k] == shown(spans(t, every)) for k, t in enumerate(texts))
