@@ -4,8 +4,8 @@
 record) or plain. Files go to the shared folder; their names carry the task attempt, and only the files that the manifest lists count, so
 retried and speculative tasks do no harm.
 
-``read_archives`` streams the files. Every record is checked: gzip's own sums, the record's form and length, and the payload's digest. After a
-failed check the salvage reader looks for the next valid gzip member or version line, goes on there, and reports the bytes between as a gap.
+``read_archives`` streams the files. Every record is checked: gzip's own sums, the record's form and length, and the payload's SHA-1 digest where
+there is one; records of all types are read. After a failed check the salvage reader looks for the next valid gzip member or version line, goes on there, and reports the bytes between as a gap.
 
 Defined cases: null html is an empty payload, and empty payloads are equal to each other; a null url is left out; of repeated rows with one
 page_id all are responses if that page_id is the largest; rows without a page_id are revisits of an equal page that has one, and otherwise
@@ -36,7 +36,6 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the pages bear no dates
 FILE_BYTES = 64 << 20
-MAX_HEAD = 64 << 10
 MANDATORY = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"}
 CHUNK = 16 << 10
 MAGIC = b"\x1f\x8b\x08"
@@ -156,8 +155,8 @@ class Window:
 
 def _parse(data: bytes) -> tuple[dict[str, str], int] | None:
     """Header fields and where the block begins; None if this is no record head."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEAD)
-    if not data.startswith(b"WARC/1.") or end < 0:
+    end = data.find(b"\r\n\r\n") if data.startswith(b"WARC/1.") else -1
+    if end < 0:
         return None
     try:
         lines = data[:end].decode().split("\r\n")
@@ -172,17 +171,16 @@ def _parse(data: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def _checked(head: dict[str, str], block: bytes, start: int, end: int) -> Record | None:
-    body = block.find(b"\r\n\r\n") + 4
-    if body < 4:
+    """The record, of whatever type; None if it has a SHA-1 digest of another payload (a revisit has the original's, a segment the whole's)."""
+    kind, digest = head["WARC-Type"], head.get("WARC-Payload-Digest", "")
+    http = block.startswith(b"HTTP/") or head.get("Content-Type", "").startswith("application/http")
+    body = (k + 4 if (k := block.find(b"\r\n\r\n")) >= 0 else len(block)) if http else 0
+    payload = block[body:]
+    checked = kind != "revisit" and "WARC-Segment-Number" not in head and digest.startswith("sha1:")
+    if checked and digest[5:] not in (base32_sha1(payload), hashlib.sha1(payload).hexdigest()):
         return None
-    length = re.search(rb"\r\nContent-Length: (\d+)\r\n", block[:body])
-    payload, digest = block[body:], head.get("WARC-Payload-Digest", "")
-    if head["WARC-Type"] == "response":
-        if not length or int(length[1]) != len(payload) or digest != f"sha1:{base32_sha1(payload)}":
-            return None
-    elif head["WARC-Type"] != "revisit" or not length or payload or "WARC-Refers-To" not in head or not digest.startswith("sha1:"):
-        return None
-    return Record(start, end, head, payload, int(length[1]))
+    told = re.search(rb"(?i)\r\nContent-Length: *(\d+)\r\n", block[:body])
+    return Record(start, end, head, payload, int(told[1]) if told and kind == "revisit" else len(payload))
 
 
 def _member_at(window: Window, start: int) -> Record | None:
@@ -205,7 +203,8 @@ def _member_at(window: Window, start: int) -> Record | None:
 
 
 def _plain_at(window: Window, start: int) -> Record | None:
-    if not (found := _parse(window.get(start, MAX_HEAD))):
+    end = window.find(b"\r\n\r\n", start)
+    if end < 0 or not (found := _parse(window.get(start, end + 4 - start))):
         return None
     head, body = found
     stop = start + body + int(head["Content-Length"])
@@ -234,31 +233,38 @@ def salvage(file, size: int) -> Iterator[Record | Gap]:
         yield Gap(lost, size)
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """A row for each record (record_type response or revisit) and each gap (record_type gap: gap_start, gap_end) of the files ``path``."""
+def read_archives(manifest: DataFrame, whole: bool = False) -> DataFrame:
+    """A row for each record (record_type is its type) and each gap (record_type gap: gap_start, gap_end) of the files ``path``.
+
+    With ``whole`` a gap, or a number of records other than the manifest's ``records``, is an error.
+    """
 
     def page(name: str | None) -> int | None:
         digits = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
         return int(digits[1]) if digits else None
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for folder, path in rows:
-            system, _ = file_system(folder)
+        for folder, path, records in rows:
+            read, system = 0, file_system(folder)[0]
             with system.open_input_file(path) as file:
                 for x in salvage(file, file.size()):
                     if isinstance(x, Gap):
+                        if whole:
+                            raise ValueError(f"{path}: bytes {x.start} to {x.end} hold no valid record")
                         log.warning("%s: bytes %d to %d hold no valid record", path, x.start, x.end)
                         yield path, "gap", None, None, None, None, None, None, x.start, x.end
                     else:
-                        kind = x.head["WARC-Type"]
-                        yield path, kind, page(x.head.get("WARC-Record-ID")), x.head.get("WARC-Target-URI"), x.payload_bytes, x.head["WARC-Payload-Digest"][5:], page(x.head.get("WARC-Refers-To")), x.payload if kind == "response" else None, None, None
+                        kind, read = x.head["WARC-Type"], read + 1
+                        yield path, kind, page(x.head.get("WARC-Record-ID")), x.head.get("WARC-Target-URI"), x.payload_bytes, x.head["WARC-Payload-Digest"].removeprefix("sha1:") if "WARC-Payload-Digest" in x.head else None, page(x.head.get("WARC-Refers-To")), None if kind == "revisit" else x.payload, None, None
+            if whole and read != records:
+                raise ValueError(f"{path}: {read} of {records} records")
 
     files = max(1, manifest.count())
     schema = "path string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap_start long, gap_end long"
-    return map_rows(manifest.select("folder", "path").repartition(files), schema, each, chunk_bytes=4 << 20)
+    return map_rows(manifest.select("folder", "path", F.col("records") if whole else F.lit(None).cast("long")).repartition(files), schema, each, chunk_bytes=4 << 20)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` to archives and reads them back: a row for each page."""
-    found = read_archives(write_archives(pages)).where("record_type != 'gap'")
+    """Writes ``pages`` to archives and reads them back: a row for each page. A gap or a missing record is an error."""
+    found = read_archives(write_archives(pages), whole=True)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

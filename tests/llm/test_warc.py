@@ -91,3 +91,31 @@ def test_gaps_are_reported(spark, tmp_path):
 
 def test_empty(pages):
     assert warc.round_trip(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_long_heads_and_foreign_records(spark, compressed):
+    url = "data:text/html," + "<b>" * 40_000
+    def foreign(kind, block, *fields):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{kind}>", f"WARC-Date: {warc.DATE}", *fields, f"Content-Length: {len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    records = [
+        warc.record(1, url, b"long", digest(b"long"), None), foreign("warcinfo", b"software: x\r\n"), foreign("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        foreign("response", chunked, "Content-Type: application/http; msgtype=response"), foreign("metadata", b""), foreign("resource", b"xyz", "WARC-Payload-Digest: sha1:" + digest(b"xyz")),
+        foreign("resource", b"xyz", "WARC-Payload-Digest: sha1:" + digest(b"other")),
+    ]
+    found = read(b"".join(map(warc.member, records) if compressed else records))
+    assert [x.head["WARC-Type"] if isinstance(x, warc.Record) else "gap" for x in found] == ["response", "warcinfo", "request", "response", "metadata", "resource", "gap"]
+    assert found[0].head["WARC-Target-URI"] == url and found[3].payload == chunked[chunked.index(b"\r\n\r\n") + 4 :]
+
+
+def test_round_trip_is_whole_or_fails(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u" * 200_000, "same"), (2, " " * 100_000, "same"), (3, "v", "other")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()) == [(1, "revisit", 2), (2, "response", None), (3, "response", None)]
+    parts = archive(3, True)
+    for k, (data, records) in enumerate([(b"".join(parts[:2]), 3), (parts[0] + parts[1][:50] + parts[2], 3)]):
+        (tmp_path / f"{k}.warc.gz").write_bytes(data)
+        manifest = spark.createDataFrame([(str(tmp_path / f"{k}.warc.gz"), f"file://{tmp_path}", records)], "path string, folder string, records long")
+        with pytest.raises(Exception, match="2 of 3 records|no valid record"):
+            warc.read_archives(manifest, whole=True).collect()
