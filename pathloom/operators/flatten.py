@@ -1,11 +1,14 @@
 """Documents to nodes: every object member and array element at any depth, with its key paths.
 
-Documents are VARIANT values, so one path may hold several types. Each level is one ``explode`` over the children of the containers that are
-still open; a container also passes itself on, closed. So all levels run in one stage and the documents are read once.
+Documents are VARIANT values, so one path may hold several types. Each level is an array of nodes, made of the containers of the level above; all
+levels of a document become rows in one ``explode``. So everything runs in one stage, the documents are read once, and a task holds the nodes of
+one document at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,63 +44,71 @@ def max_depth(docs: DataFrame) -> int:
     return docs.select(step.alias("d")).agg(F.max("d")).first()[0] or 0
 
 
-def flatten(docs: DataFrame, config: EngineConfig | None = None, depth: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Nodes of ``docs`` (doc_id, doc), with its columns ``keep``. ``depth`` is the deepest nesting, found by ``max_depth`` if not given; deeper parts are not visited."""
+def flatten(
+    docs: DataFrame, config: EngineConfig | None = None, depth: int | None = None, keep: tuple[str, ...] = (), kinds: tuple[str, ...] = (), paths: Collection[str] | None = None
+) -> DataFrame:
+    """Nodes of ``docs`` (doc_id, doc), with its columns ``keep``.
+
+    ``depth`` is the deepest nesting, found by ``max_depth`` if not given; a document with more is an error. ``kinds`` and ``paths`` (keys joined
+    by /) restrict the nodes; what leads to none of the paths is not opened, nor are values looked at whose kind is not wanted.
+    """
     config = config or EngineConfig()
     depth = max_depth(docs) if depth is None else depth
-    none = F.array().cast("array<string>")
-    state = docs.select("doc_id", *keep, F.lit("").alias("parent"), F.lit("").alias("base"), F.lit("").alias("typed"), none.alias("keys"), F.col("doc").alias("v"), F.lit(True).alias("open"))
-    for _ in range(depth):
-        state = _level(state, config, keep)
-    return _described(state.where(F.size("keys") > 0), keep)
-
-
-def _level(state: DataFrame, config: EngineConfig, keep: tuple[str, ...]) -> DataFrame:
-    pair = "struct<key:string,v:variant>"
-    objects = F.expr("transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct(e.key as key, e.value as v))")
-    arrays = F.expr("transform(try_variant_get(v, '$', 'array<variant>'), (x, i) -> struct(cast(i as string) as key, x as v))")
-    own = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("v"))).cast(f"array<{pair}>")
-    below = F.coalesce(objects, arrays, F.array().cast(f"array<{pair}>"))
-    rows = state.select("*", F.explode(F.when(F.col("open"), F.concat(own, below)).otherwise(own)).alias("c"))
-    child = F.col("c.key").isNotNull()
-    path = F.when(F.col("typed") == "", F.col("c.key")).otherwise(F.concat("typed", F.lit(config.key_sep), "c.key"))
-    rows = rows.select(
-        "doc_id", *keep, F.when(child, F.col("typed")).otherwise(F.col("parent")).alias("parent"), F.when(child, path).otherwise(F.col("base")).alias("base"), "typed",
-        F.when(child, F.array_append("keys", F.col("c.key"))).otherwise(F.col("keys")).alias("keys"), F.col("c.v").alias("v"), child.alias("child"),
-    )
-    kind = _kind(F.col("v"))
-    rows = rows.withColumn("kind", F.when(F.col("child"), kind))
-    typed = F.when(~F.col("child"), F.col("typed")).when(F.col("kind") == "null", F.col("base")).otherwise(F.concat("base", F.lit(config.type_sep), "kind"))
-    return rows.select("doc_id", *keep, "parent", "base", typed.alias("typed"), "keys", "v", (F.col("child") & F.col("kind").isin("obj", "arr")).alias("open"))
-
-
-def _schema(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _kind(v: Column) -> Column:
-    """num, str, bool, null, arr or obj. Containers are told apart without building their schema."""
-    scalar = F.col("v")
-    return (
-        F.when(F.expr("try_variant_get(v, '$', 'map<string,variant>') is not null"), "obj")
-        .when(F.expr("try_variant_get(v, '$', 'array<variant>') is not null"), "arr")
-        .when(F.is_variant_null(scalar), "null")
-        .when(_schema(v) == "STRING", "str")
-        .when(_schema(v) == "BOOLEAN", "bool")
-        .otherwise("num")
-    )
-
-
-def _described(state: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    rows = state.withColumn("kind", _kind(F.col("v")))
+    ways = None if paths is None else {p: p.split("/") for p in paths}
+    levels = depth if ways is None else min(depth, max(map(len, ways.values()), default=0))
+    if not levels:
+        return flatten(docs, config, 1, keep, paths=("",)).where("false")
+    # A node is (own, m, a): what is kept of it, and its members or elements. The levels are nested lets in one expression, so that no level is copied.
+    body = f"concat({', '.join(f'transform(n{k}, n -> n.own)' for k in range(1, levels + 1))})"
+    if ways is None:
+        left = f"exists(n{levels}, n -> size(n.m) > 0 or size(n.a) > 0)"
+        body = f"if({left}, raise_error(concat('nested deeper than {levels} levels: document ', doc_id)), {body})"
+    else:
+        body = f"filter({body}, n -> array_join(n.keys, '/') in ({', '.join(map(_quoted, ways))}))"
+    if kinds:
+        body = f"filter({body}, n -> {_KIND.format('n.t')} in ({', '.join(map(_quoted, kinds))}))"
+    for level in range(levels, 0, -1):
+        wanted = None if ways is None else sorted({"/".join(w[:level]) for w in ways.values() if len(w) >= level})
+        body = f"transform(array({_children(f'n{level - 1}', config, kinds, wanted)}), n{level} -> {body})[0]"
+    root = f"array(named_struct('own', named_struct('keys', cast(array() as array<string>), 'typed', ''), {_OPENED.format('doc')}))"
+    found = F.expr(f"transform(array({root}), n0 -> {body})[0]")
+    return _described(docs.select("doc_id", *keep, F.explode(found).alias("n")).select("doc_id", *keep, "n.*"), keep)
+
+
+_OPENED = "'m', try_variant_get({0}, '$', 'map<string,variant>'), 'a', try_variant_get({0}, '$', 'array<variant>')"
+#: From a node's ``t``: obj, arr, or a scalar's ``schema_of_variant``.
+_KIND = "case {0} when 'obj' then 'obj' when 'arr' then 'arr' when 'STRING' then 'str' when 'BOOLEAN' then 'bool' when 'VOID' then 'null' else 'num' end"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _children(above: str, config: EngineConfig, kinds: tuple[str, ...], wanted: list[str] | None) -> str:
+    """SQL: the children of all containers in the array ``above``. Each value is opened once, which also tells what it is; only scalars are asked for their type."""
+    raw = "coalesce(transform(map_entries(p.m), e -> named_struct('key', e.key, 'v', e.value)), transform(p.a, (x, i) -> named_struct('key', cast(i as string), 'v', x)))"
+    if wanted is not None:
+        raw = f"filter({raw}, c -> array_join(array_append(p.own.keys, c.key), '/') in ({', '.join(map(_quoted, wanted))}))"
+    known = f"transform({raw}, c -> named_struct('key', c.key, 'v', c.v, {_OPENED.format('c.v')}))"
+    scalar = "schema_of_variant(c.v)"
+    if kinds and not set(kinds) - {"obj", "arr"}:
+        known, scalar = f"filter({known}, c -> c.m is not null or c.a is not null)", "''"
+    base = f"if(p.own.typed = '', c.key, concat(p.own.typed, {_quoted(config.key_sep)}, c.key))"
+    typed = f"transform({known}, c -> named_struct('c', c, 'base', {base}, 't', case when c.m is not null then 'obj' when c.a is not null then 'arr' else {scalar} end))"
+    path = f"if(x.t = 'VOID', x.base, concat(x.base, {_quoted(config.type_sep)}, {_KIND.format('x.t')}))"
+    own = f"named_struct('keys', array_append(p.own.keys, x.c.key), 'parent', p.own.typed, 'base', x.base, 'typed', {path}, 'v', x.c.v, 't', x.t)"
+    return f"flatten(transform(filter({above}, p -> p.m is not null or p.a is not null), p -> transform({typed}, x -> named_struct('own', {own}, 'm', x.c.m, 'a', x.c.a))))"
+
+
+def _described(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    rows = rows.withColumn("kind", F.expr(_KIND.format("t")))
     num, string, flag = (F.col("kind") == k for k in ("num", "str", "bool"))
     # Casts of a variant change types silently, so each is guarded by the kind.
-    exact = F.when(num, F.expr("try_variant_get(v, '$', 'decimal(38,9)')"))
-    is_int = F.when(num, (_schema(F.col("v")) == "BIGINT") | F.rlike(_schema(F.col("v")), F.lit(r"^DECIMAL\((?:19|[23]\d),0\)$")))
+    is_int = F.when(num, (F.col("t") == "BIGINT") | F.rlike("t", F.lit(r"^DECIMAL\((?:19|[23]\d),0\)$")))
     return rows.select(
         "doc_id", *keep, F.size("keys").alias("depth"), F.col("keys").alias("json_path"), F.col("parent").alias("parent_path"), F.col("typed").alias("typed_path"),
         F.col("base").alias("base_path"), "kind", is_int.alias("is_int"), F.when(num, F.expr("try_variant_get(v, '$', 'double')")).alias("num_val"),
-        exact.alias("num_exact"), F.when(string, F.expr("try_variant_get(v, '$', 'string')")).alias("str_val"),
+        F.when(num, F.expr("try_variant_get(v, '$', 'decimal(38,9)')")).alias("num_exact"), F.when(string, F.expr("try_variant_get(v, '$', 'string')")).alias("str_val"),
         F.when(flag, F.expr("try_variant_get(v, '$', 'boolean')")).alias("bool_val"), F.when(F.col("kind") == "arr", F.col("v")).alias("arr"),
     )
 

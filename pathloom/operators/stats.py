@@ -1,15 +1,16 @@
-"""Per-path statistics in two aggregations: values of a path (``value_counts``), then the path.
+"""Per-path statistics in two aggregations: values of a path (``counted``), then the path.
 
-All statistics types and bucket numbers of an experiment derive from the same ``value_counts``, so it is what deserves caching. Both aggregations
-combine before the shuffle; a hot path is as many rows in the second as it has distinct values.
+Both aggregations combine before the shuffle; a hot path is as many rows in the second as it has distinct values. All but histograms come from
+one such pass. Histograms read the values several times, so there the counts by value are a written table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig, StatType
+from ..tables import written
 from . import histogram
 
 VALUE = ("num_val", "num_exact", "str_val", "bool_val")
@@ -21,8 +22,10 @@ STAT_COLUMNS = (
 def counted(nodes: DataFrame) -> DataFrame:
     """typed_path, base_path, kind, the value in its column, cnt: one row for each value of a path, and one for each container or null path.
 
-    All statistics of a build follow from this table, so that documents are flattened once if it is persisted.
+    All statistics of a build follow from this table.
     """
+    if "cnt" in nodes.columns:  # truth.collected
+        return nodes.groupBy("typed_path", "base_path", "kind", *VALUE).agg(F.sum("cnt").alias("cnt"))
     # -0.0 and 0.0 are one number
     rows = nodes.withColumn("num_val", F.when(F.col("num_val") == 0, 0.0).otherwise(F.col("num_val")))
     return rows.groupBy("typed_path", "base_path", "kind", *VALUE).agg(F.count("*").alias("cnt"))
@@ -34,16 +37,6 @@ def value_counts(nodes: DataFrame, counts: DataFrame | None = None) -> DataFrame
     return rows.select(F.col("typed_path").alias("path"), "kind", *VALUE, "cnt")
 
 
-def path_totals(counts: DataFrame) -> DataFrame:
-    """``path_counts`` from ``counted`` rows."""
-    both = counts.select("kind", "cnt", F.explode(F.array(
-        F.struct(F.col("base_path").alias("path"), F.lit(None).cast("string").alias("k")),
-        F.struct(F.when(F.col("kind") != "null", F.col("typed_path")).alias("path"), F.col("kind").alias("k")),
-    )).alias("p")).where("p.path is not null")
-    null = (F.col("kind") == "null") & F.col("p.k").isNull()
-    return both.groupBy(F.col("p.path").alias("path"), F.col("p.k").alias("kind")).agg(F.sum("cnt").alias("count"), F.sum(F.when(null, F.col("cnt")).otherwise(0)).alias("null_count"))
-
-
 def path_counts(nodes: DataFrame) -> DataFrame:
     """path, kind, count, null_count for base paths (kind null) and typed paths.
 
@@ -71,8 +64,13 @@ def distinct_counts(values: DataFrame) -> DataFrame:
 
 def hll_counts(values: DataFrame, error: float) -> DataFrame:
     """Estimated number of distinct values (HyperLogLog++) from ``value_counts``; repeats do not change a sketch."""
-    shown = F.coalesce(F.col("num_exact").cast("string"), F.col("num_val").cast("string"), F.col("str_val"), F.col("bool_val").cast("string"))
-    return values.groupBy("path").agg(F.approx_count_distinct(shown, error).alias("ndv"))
+    return values.groupBy("path").agg(F.approx_count_distinct(_shown(), error).alias("ndv"))
+
+
+def _shown(place: str = "") -> Column:
+    """A value as text."""
+    num_val, num_exact, str_val, bool_val = (F.col(place + c) for c in VALUE)
+    return F.coalesce(num_exact.cast("string"), num_val.cast("string"), str_val, bool_val.cast("string"))
 
 
 def modes(values: DataFrame) -> DataFrame:
@@ -84,22 +82,32 @@ def modes(values: DataFrame) -> DataFrame:
 
 
 def key_stats(nodes: DataFrame, config: EngineConfig) -> DataFrame:
-    """STAT_COLUMNS for every base and typed path of the given nodes.
-
-    The counts by value are persisted, as several aggregations read them; ``spark.catalog.clearCache()`` lets them go.
-    """
-    counts = counted(nodes).persist()
-    values = value_counts(nodes, counts)
-    out = path_totals(counts).join(ranges(values), "path", "left")
+    """STAT_COLUMNS for every base and typed path of the given nodes."""
     kind = config.stats_type
+    counts = counted(nodes)
+    if kind is StatType.HISTOGRAM:
+        counts = written(counts)  # read by several aggregations
+    # A row for the base path, without its value, and one for the typed path.
+    value = F.struct(*VALUE)
+    both = counts.select("kind", "cnt", F.explode(F.array(
+        F.struct(F.col("base_path").alias("path"), F.lit(None).cast("string").alias("k"), F.when(F.lit(False), value).alias("v")),
+        F.struct(F.when(F.col("kind") != "null", F.col("typed_path")).alias("path"), F.col("kind").alias("k"), F.when(F.col("kind").isin("num", "str", "bool"), value).alias("v")),
+    )).alias("p")).where("p.path is not null").select("kind", "cnt", "p.*")
+    null = (F.col("kind") == "null") & F.col("k").isNull()
+    wanted = [F.sum("cnt").alias("count"), F.sum(F.when(null, F.col("cnt")).otherwise(0)).alias("null_count")]
+    wanted += [f(f"v.{c}").alias(f"{n}_{t}") for t, c in (("num", "num_val"), ("str", "str_val"), ("bool", "bool_val")) for n, f in (("min", F.min), ("max", F.max))]
     if kind is StatType.NDV_HYPERLOG:
-        out = out.join(hll_counts(values, config.hll_error), "path", "left")
+        wanted.append(F.approx_count_distinct(_shown("v."), config.hll_error).alias("ndv"))
     elif kind is not StatType.BASIC:
-        out = out.join(distinct_counts(values), "path", "left")
+        wanted.append(F.count("v").alias("ndv"))  # rows of counts are distinct
     if kind is StatType.NDV_WITH_MODE:
-        out = out.join(modes(values), "path", "left")
+        top = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("cnt")).alias("less"), "v.num_val", "v.str_val", "v.bool_val")))
+        wanted.append(F.when(top.isNotNull(), F.struct(*(top[c].alias(c) for c in ("num_val", "str_val", "bool_val")), (-top["less"]).alias("count"))).alias("mode"))
+    out = both.groupBy("path", F.col("k").alias("kind")).agg(*wanted)
+    if kind is not StatType.BASIC:
+        out = out.withColumn("ndv", F.when(F.col("ndv") > 0, F.col("ndv")))
     if kind is StatType.HISTOGRAM:
-        out = out.join(histogram.histograms(values, config.buckets, config.singleton_plus), "path", "left")
+        out = out.join(histogram.histograms(value_counts(nodes, counts), config.buckets, config.singleton_plus), "path", "left")
     return conformed(out)
 
 

@@ -266,17 +266,26 @@ def estimates(name: str, kind: StatType, rate: float = 0.0, top: int | None = No
         FROM preds p LEFT JOIN s ON s.path = p.path LEFT JOIN h ON h.pred_id = p.pred_id{extra}, (SELECT CAST({hcs} AS DOUBLE) AS hcs)"""
 
 
-def truths(name: str, per_path: int = 5) -> str:
+#: Arrays by collection: path, document, elements as texts with their kind.
+_ARRAYS = {"mixed": "SELECT 'x' AS jp, d, ['num:' || CAST(CAST(user_id % 10 AS DOUBLE) AS VARCHAR), 'str:' || event_type] AS own FROM src WHERE m = 5"}
+
+
+def truths(name: str, per_path: int = 25) -> str:
     more = [
         "v AS (SELECT jp, typed, kind, num, str, bool, coalesce(CAST(num AS VARCHAR), str, CAST(bool AS VARCHAR)) AS t, count(*) AS cnt FROM nodes WHERE kind IN ('num', 'str', 'bool') GROUP BY ALL)",
         f"o AS (SELECT *, row_number() OVER (PARTITION BY jp ORDER BY md5(t), kind, t) AS r FROM v QUALIFY r <= {per_path})",
         "c AS (SELECT jp, count(*) AS n, count(*) FILTER (kind = 'null') AS nulls FROM nodes GROUP BY jp)",
-        "j AS (SELECT DISTINCT jp FROM nodes)",
+        f"arr AS ({_ARRAYS.get(name, 'SELECT NULL AS jp, NULL AS d, [NULL] AS own WHERE false')})",
+        f"ao AS (SELECT jp, own, list_sort(list_transform(list_distinct(own), lambda x: md5(x) || x)) AS e FROM (SELECT DISTINCT jp, own FROM arr) QUALIFY row_number() OVER (PARTITION BY jp ORDER BY md5(array_to_string(own, ',')), own) <= {per_path})",
+        "sub AS (SELECT jp, e[1:1] AS one, CASE WHEN len(list_filter(e, lambda x: x < '8')) > 0 THEN list_filter(e, lambda x: x < '8') ELSE e[1:1] END AS many FROM ao)",
+        "ask AS (SELECT DISTINCT op, jp, list_transform(els, lambda x: substr(x, 33)) AS els FROM (SELECT 'memberof' AS op, jp, one AS els FROM sub WHERE len(one) > 0 UNION ALL SELECT 'contains', jp, many FROM sub UNION ALL SELECT 'overlaps', jp, many FROM sub))",
     ]
     none = "CAST(NULL AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS str, CAST(NULL AS BOOLEAN) AS bool"
     below = "coalesce((SELECT CAST(sum(cnt) AS BIGINT) FROM v WHERE v.jp = o.jp AND v.kind = 'num' AND v.num {} o.num), 0)"
-    return _with(name, *more) + f"""SELECT op, c.jp AS json_path, {none}, CASE op WHEN 'exists' THEN n WHEN 'is_null' THEN nulls ELSE n - nulls END AS truth FROM c, (VALUES ('exists'), ('not_null'), ('is_null')) x(op)
-        UNION ALL SELECT 'eq', jp, num, str, bool, cnt FROM o UNION ALL SELECT 'lt', jp, num, str, bool, {below.format('<')} FROM o WHERE kind = 'num' UNION ALL SELECT 'gt', jp, num, str, bool, {below.format('>')} FROM o WHERE kind = 'num'"""
+    met = "CASE op WHEN 'overlaps' THEN list_has_any(own, els) ELSE list_has_all(own, els) END"
+    return _with(name, *more) + f"""SELECT op, c.jp AS json_path, {none}, CAST(NULL AS VARCHAR) AS els, CASE op WHEN 'exists' THEN n WHEN 'is_null' THEN nulls ELSE n - nulls END AS truth FROM c, (VALUES ('exists'), ('not_null'), ('is_null')) x(op)
+        UNION ALL SELECT 'eq', jp, num, str, bool, NULL, cnt FROM o UNION ALL SELECT 'lt', jp, num, str, bool, NULL, {below.format('<')} FROM o WHERE kind = 'num' UNION ALL SELECT 'gt', jp, num, str, bool, NULL, {below.format('>')} FROM o WHERE kind = 'num'
+        UNION ALL SELECT op, jp, NULL, NULL, NULL, array_to_string(els, ','), (SELECT count(*) FROM arr WHERE arr.jp = ask.jp AND {met}) FROM ask"""
 
 
 def array_truths() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig, Prune, StatType
 from ..functions import metrics
 from ..operators import enum_arrays, flatten, histogram, prune, stats
+from ..tables import spread, written
 from . import estimate, experiment, fixtures, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +43,9 @@ PREDICATES = {
 }
 
 
-def nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, name: str, kinds: tuple[str, ...] = ()) -> DataFrame:
     docs, depth = fixtures.collection(spark, sf_dir, name)
-    return flatten.flatten(docs, None, depth)
+    return flatten.flatten(docs, None, depth, kinds=kinds)
 
 
 def bucket_rows(found: DataFrame) -> DataFrame:
@@ -76,12 +78,12 @@ def mode(name: str) -> Query:
 
 
 def buckets(name: str, bins: int = BINS) -> Query:
-    return lambda spark, d: bucket_rows(histogram.histograms(stats.value_counts(nodes(spark, d, name)), bins))
+    return lambda spark, d: bucket_rows(histogram.histograms(written(stats.value_counts(nodes(spark, d, name))), bins))
 
 
 def streamed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equi-height histograms by the path for very many distinct values."""
-    return bucket_rows(histogram.histograms(stats.value_counts(nodes(spark, sf_dir, "events")), BINS, fold_most=0))
+    return bucket_rows(histogram.histograms(written(stats.value_counts(nodes(spark, sf_dir, "events"))), BINS, fold_most=0))
 
 
 def hll_bound(name: str) -> Query:
@@ -89,7 +91,7 @@ def hll_bound(name: str) -> Query:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         own = nodes(spark, d, name)
-        values = stats.value_counts(own)
+        values = written(stats.value_counts(own))
         both = stats.distinct_counts(values).join(stats.hll_counts(values, 0.05).withColumnRenamed("ndv", "guess"), "path")
         return both.select("path", (F.abs(F.col("guess") - F.col("ndv")) <= F.greatest(F.lit(1), 0.15 * F.col("ndv"))).alias("within"))
 
@@ -112,11 +114,11 @@ def key_paths(name: str) -> Query:
 
 
 def enum_counts(name: str) -> Query:
-    return lambda spark, d: stat_rows(enum_arrays.enum_stats(nodes(spark, d, name), EngineConfig(StatType.NDV_WITH_MODE))).select("path", "cnt", "ndv", "mode_num", "mode_str", "mode_cnt")
+    return lambda spark, d: stat_rows(enum_arrays.enum_stats(nodes(spark, d, name, ("arr",)), EngineConfig(StatType.NDV_WITH_MODE))).select("path", "cnt", "ndv", "mode_num", "mode_str", "mode_cnt")
 
 
 def enum_buckets(name: str, bins: int) -> Query:
-    return lambda spark, d: bucket_rows(enum_arrays.enum_stats(nodes(spark, d, name), EngineConfig(buckets=bins)).where("buckets is not null"))
+    return lambda spark, d: bucket_rows(enum_arrays.enum_stats(nodes(spark, d, name, ("arr",)), EngineConfig(buckets=bins)).where("buckets is not null"))
 
 
 def sampled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,11 +162,12 @@ def estimates(name: str, kind: StatType, rate: float = 0.0, *strategies: Prune)
     return run
 
 
-def truths(name: str, per_path: int = 5) -> Query:
+def truths(name: str, per_path: int = 25) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        own = nodes(spark, d, name)
+        own = truth.collected(nodes(spark, d, name))
         preds = truth.predicates(own, per_path)
-        return preds.join(truth.truths(preds, own), "pred_id").select("op", "json_path", "num", "str", "bool", "truth")
+        els = F.array_join(F.expr(f"transform(els, x -> {truth._TAG})"), ",").alias("els")
+        return preds.join(truth.truths(preds, own), "pred_id").select("op", "json_path", "num", "str", "bool", els, "truth")
 
     return run
 
@@ -173,7 +176,9 @@ def array_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts of the array predicates and of ranges."""
     rows = [*PREDICATES["orders"], ("range", "o_totalprice_num", (1000, 150000)), ("contains", "flags_arr", ["A", "N", "R"]), ("overlaps", "flags_arr", ["Z"])]
     preds = estimate.predicate_frame(spark, rows).withColumn("json_path", F.regexp_replace("path", "_(arr|num)$", ""))
-    return preds.join(truth.truths(preds, nodes(spark, sf_dir, "orders")), "pred_id").select("pred_id", "op", "path", "truth")
+    docs, depth = fixtures.collection(spark, sf_dir, "orders")
+    asked = {re.sub("_(arr|num)$", "", path) for _, path, _ in rows}  # only nodes at these paths are looked at
+    return preds.join(truth.truths(preds, flatten.flatten(docs, None, depth, paths=asked)), "pred_id").select("pred_id", "op", "path", "truth")
 
 
 def end_to_end(kind: StatType) -> Query:
@@ -188,7 +193,7 @@ def end_to_end(kind: StatType) -> Query:
 
 def made_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of truth and estimate to hold the metrics against SQL."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     size = F.col("l_extendedprice")
     return rows.select(
         F.col("l_returnflag").alias("op"), F.col("l_linestatus").alias("config_id"), F.concat("l_returnflag", "l_linestatus").alias("path"),
