@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -12,35 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_folder, spread, written
+
+__all__ = ["map_rows", "python_stage", "shared_folder", "ship", "table", "text_bytes", "without", "words_of", "written"]
+
 #: Most rows that Spark hands to a Python worker at once. Texts can be long, so this is well under Spark's default.
 BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent (local tests) the context's own checkpoint folder is used, or a temporary one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        held = context._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="pathloom-"))
-            held = context._jsc.sc().getCheckpointDir()
-        root = held.get()
-    return f"{root.rstrip('/')}/pathloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and has a known size."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def without(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:

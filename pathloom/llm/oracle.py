@@ -43,7 +43,7 @@ def _rule_spans(rule: secrets.Rule, place: int) -> str:
     pattern = rule.regex.replace("'", "''")
     return f"""SELECT doc_id, CAST(list_sum(list_transform(pc[1 : i], lambda z: CAST(length(z) AS BIGINT))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda z: CAST(length(z) AS BIGINT))), 0) AS BIGINT) AS a, {place} AS place, length(m[i]) AS size, '{rule.kind}' AS kind
         FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS pc, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d WHERE regexp_matches(t, '{pattern}')),
-        generate_series(1, 100000) x(i) WHERE i <= len(m) AND length(g[i]) >= {rule.least}"""
+        unnest(range(1, len(m) + 1)) x(i) WHERE length(g[i]) >= {rule.least}"""
 
 
 _N = len(secrets.BASE)
