@@ -4,8 +4,8 @@
 kept if it passes the base rules and lines marked content hold at least ``min_content_share`` of its words.
 
 The field is fitted with stochastic gradient ascent on at most ``MAX_LABELLED`` labelled documents, those with the smallest hash of their id
-(a bounded sample, which is a documented parameter); every line of a document gets the document's label. Without both labels present, fixed
-weights hold.
+(a bounded sample, which is a documented parameter), with all their lines; every line of a document gets the document's label. The driver gets
+two bytes for each line, its features, and no texts. Without both labels present, fixed weights hold.
 
 Defined cases: null text counts as empty; a text without words has content share 0 and fails the base rule on length; repeated rows are
 assessed alike; an empty table gives an empty result; further columns are passed over.
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, python_stage
 
-#: Most labelled documents used for fitting, and most lines of each.
+#: Most labelled documents used for fitting.
 MAX_LABELLED = 2000
-MAX_LINES = 200
 MIN_CONTENT_SHARE = 0.3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -95,9 +94,19 @@ def viterbi(scores: np.ndarray, stay: float) -> list[bool]:
     return out[::-1]
 
 
-def fit(samples: list[tuple[str, int]], epochs: int = 6, rate: float = 0.2, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and the gain of equal neighbours, by gradient ascent on the conditional log-likelihood of (text, label)."""
-    data = [(features(lines), float(label)) for text, label in samples if (lines := lines_of(text)[:MAX_LINES])]
+def packed(text: str) -> bytes:
+    """The features of a text's lines, two bytes a line."""
+    lines = lines_of(text)
+    return np.packbits(features(lines).astype(bool), axis=1).tobytes() if lines else b""
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, 2), axis=1).astype(np.float64)
+
+
+def fit(samples: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.2, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and the gain of equal neighbours, by gradient ascent on the conditional log-likelihood of (packed features, label)."""
+    data = [(unpacked(lines), float(label)) for lines, label in samples if lines]
     if len({label for _, label in data}) < 2:
         return DEFAULT.copy(), DEFAULT_STAY
     weight, stay = DEFAULT.copy(), DEFAULT_STAY
@@ -171,13 +180,19 @@ def statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(ws), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ws)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    """(text, quality) of at most ``most`` labelled documents: those whose ids have the smallest hashes."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[bytes, int]]:
+    """(packed features, quality) of at most ``most`` labelled documents: those whose ids have the smallest hashes."""
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("__label"))
     chosen = chosen.groupBy("doc_id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has `most` rows at most
-    rows = found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "__label").orderBy(F.xxhash64("doc_id"), "text").limit(most).collect()
-    return [(r["text"], int(r["__label"] > 0)) for r in rows]
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for by_id, by_text, text, label in rows:
+            yield by_id, by_text, packed(text), int(label > 0)
+
+    found = found.select(F.xxhash64("doc_id"), F.xxhash64("text"), F.coalesce("text", F.lit("")), F.col("__label").cast("long"))
+    rows = map_rows(found, "by_id long, by_text long, lines binary, label int", each)
+    return [(bytes(r["lines"]), r["label"]) for r in rows.orderBy("by_id", "by_text", "lines").limit(most).collect()]
 
 
 def verdict(text: str, model: tuple[np.ndarray, float], min_content_share: float = MIN_CONTENT_SHARE) -> tuple:
