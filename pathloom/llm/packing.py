@@ -5,8 +5,9 @@ Best fit looks only at lengths, so the packing of any number of documents follow
 open bin in logarithmic time; bins that are alike, and pieces of one length that fill them alike, are placed together as ranges. Its result
 equals best fit decreasing piece by piece. Each piece then finds its place from its rank among the pieces of its length.
 
-The ranks are counted within (length, bucket of the id) and shifted by the earlier buckets' counts: no length is gathered in one task, and
-the driver gets at most ``capacity * BUCKETS`` counts. The plan grows with the capacity and not with the input.
+The ranks are counted within (length, bucket of the id) and shifted by the earlier buckets' counts. A length has a bucket for each
+``BUCKET_ROWS`` pieces (more where there would be over ``MOST_BUCKETS``), so no length is gathered in one task however many pieces it has, and the
+driver gets at most ``capacity + MOST_BUCKETS`` counts. The plan grows with the capacity and not with the input.
 
 Defined cases: null text counts as empty, and an empty text is its end token alone; a text of more than ``capacity`` tokens is cut into full
 pieces behind a first one that may be shorter; repeated rows are packed once each; an empty table gives an empty result.
@@ -28,7 +29,8 @@ from .common import map_rows, python_stage, written
 
 CAPACITY = 1024
 END_ID = 2
-BUCKETS = 64
+BUCKET_ROWS = 4096
+MOST_BUCKETS = 100_000
 
 
 class CapacityTree:
@@ -174,13 +176,19 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to ``parts``, which has doc_id, piece, start and length and is read more than once."""
-    bucketed = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(BUCKETS)))
-    many = bucketed.groupBy("length", "__bucket").count().collect()  # capacity * BUCKETS rows at most
-    by_bucket = np.zeros((capacity + 1, BUCKETS + 1), np.int64)
-    for length, bucket, count in many:
-        by_bucket[length, bucket + 1] = count
-    before = by_bucket.cumsum(axis=1)
-    plan = best_fit_plan({n: int(c) for n, c in enumerate(before[:, -1]) if c}, capacity)
+    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # capacity rows at most
+    size = max(BUCKET_ROWS, -(-sum(counts.values()) // MOST_BUCKETS))
+    buckets = np.array([-(-counts.get(n, 0) // size) for n in range(capacity + 1)], np.int64)
+    # The buckets of all lengths side by side: length n has those from first[n] on.
+    first = np.concatenate([[0], np.cumsum(buckets)])
+    own = F.element_at(F.lit(np.maximum(buckets, 1).tolist()), (F.col("length") + 1).cast("int"))
+    bucketed = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), own))
+    before = np.zeros(first[-1], np.int64)
+    for length, bucket, count in bucketed.groupBy("length", "__bucket").count().collect():  # capacity + MOST_BUCKETS rows at most
+        before[first[length] + bucket] = count
+    upto = np.concatenate([[0], np.cumsum(before)])
+    before = upto[:-1] - np.repeat(upto[first[:-1]], buckets)
+    plan = best_fit_plan(counts, capacity)
     names = [c for c in parts.columns if not c.startswith("__")]
     order = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "start")
     ranked = bucketed.withColumn("__rank", F.row_number().over(order) - 1)
@@ -190,7 +198,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, bucket, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (at, batch.num_columns - 2, batch.num_columns - 1))
-            rank += before[length, bucket]
+            rank += before[first[length] + bucket]
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for n in np.unique(length):
                 own, rows = length == n, plan[int(n)]

@@ -79,3 +79,18 @@ def test_ids_and_empty(docs, empty):
     one = packing.best_fit_packing(docs.where("doc_id = 1000005"), vocabulary(), with_ids=True).collect()
     assert [len(r["ids"]) for r in one] == [r["length"] for r in one]
     assert packing.best_fit_packing(empty, vocabulary()).collect() == []
+
+
+def test_many_buckets(spark, monkeypatch):
+    """Lengths of many buckets, among them one that nearly all pieces have, are packed as with one bucket."""
+    parts = spark.createDataFrame([(k, 0, 0, 7 if k % 9 else 1 + k % 13) for k in range(900)], "doc_id long, piece int, start long, length long")
+    for rows, most in ((4096, 100_000), (8, 100_000), (8, 20)):
+        monkeypatch.setattr(packing, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(packing, "MOST_BUCKETS", most)
+        places = defaultdict(list)
+        for r in packing.pack(parts, 20).collect():
+            places[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(places) == by_piece([7 if k % 9 else 1 + k % 13 for k in range(900)], 20)[0]
+        for pieces in places.values():
+            ends = [0, *(o + n for o, n in sorted(pieces))]
+            assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 20
