@@ -6,7 +6,8 @@ the parsed expression). ``inverted_index`` has a posting for each document and e
 Rules without a mandatory trigram scan every text.
 
 Spans come from splitting a text at the matches: pieces and matches alternate, so running sums of their lengths are the positions, in code
-points. Matches of a rule do not overlap and are leftmost.
+points. Matches of a rule do not overlap and are leftmost. Running sums go by blocks (``_running``), and redaction cuts a text of fixed-width
+characters, so that a text with very many spans takes time about in proportion.
 
 Defined cases: null text counts as empty; an empty text has no spans; repeated rows are scanned alike; rows without a doc_id are candidates for
 every rule; an empty table gives an empty result; further columns can be kept.
@@ -14,6 +15,7 @@ every rule; an empty table gives an empty result; further columns can be kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -188,18 +190,40 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return out.withColumns(found).withColumns(spans).drop(*found, "__id", "__rules")
 
 
-def _spans(pieces: Column, matches: Column, tested: Column, least: int) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running results of ``join`` (a sum or a maximum of integers) up to and with each of ``values``.
+
+    Appending to an array copies it; so the values are cut in blocks of the square root of their number, each is folded for itself, and then each
+    block is joined with the result of all before it.
+    """
+
+    def fold(xs: Column) -> Column:
+        step = lambda out, x: F.array_append(out, F.when(F.size(out) > 0, join(F.element_at(out, -1), x)).otherwise(x))
+        return F.aggregate(xs, F.array().cast("array<int>"), step)
 
-    def step(state: Column, i: Column) -> Column:
-        begin = state["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(F.get(matches, i))
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(F.get(tested, i)) >= least, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda k: fold(F.slice(values, k * size + 1, size)))
 
-    every = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda s: s["out"])
-    return F.when(matches.isNull() | (F.size(matches) == 0), none).otherwise(every)
+    def joined(blocks: Column) -> Column:
+        ends = fold(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(_let(ends, lambda e: F.transform(blocks, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: join(F.get(e, k - 1), x))))))
+
+    return _let(blocks, joined)
+
+
+def _spans(pieces: Column, matches: Column, tested: Column, least: int) -> Column:
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    lengths = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+    ends = _running(lengths, lambda a, b: a + b)
+    spans = F.zip_with(ends, F.transform(matches, lambda m, i: F.struct(F.length(m).alias("n"), (F.length(F.get(tested, i)) >= least).alias("ok"))), lambda e, m: F.struct((e - m["n"]).alias("start"), e.alias("end"), m["ok"].alias("ok")))
+    kept = F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(matches.isNull() | (F.size(matches) == 0), none).otherwise(kept)
 
 
 def in_order(rules: tuple[Rule, ...]) -> Column:
@@ -218,19 +242,28 @@ def rendered(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span (``in_order``) replaced by its kind in brackets; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        more = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], more).otherwise(state["out"]).alias("out"))
+    def whole(ends: Column) -> Column:
+        """``ends``: the largest end of the spans up to each; a span that starts before the last of these is part of an earlier one."""
+        at = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        places = F.transform(spans, lambda s, i: F.when(s["start"] >= at(i), F.struct(at(i).alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))))
+        rest = F.array(F.struct(F.element_at(ends, -1).alias("from"), F.length(text).alias("to"), F.lit(None).cast("string").alias("kind")))
+        # Four bytes a character, so that a piece is cut without reading what is before it.
+        cut = lambda wide: F.transform(
+            F.concat(F.array_compact(places), rest),
+            lambda p: F.concat(F.decode(F.substr(wide, p["from"] * 4 + 1, (p["to"] - p["from"]) * 4), "UTF-32"), F.when(p["kind"].isNull(), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]")))),
+        )
+        return F.array_join(_let(F.encode(text, "UTF-32"), cut), "")
 
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    ends = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) > 0, _let(ends, whole)).otherwise(text)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with all spans of the texts replaced (``redacted``); texts without spans, null too, stay as they are."""
-    return scan(docs, rules).withColumn("text", redacted(F.col("text"), in_order(rules))).drop(*(PREFIX + r.kind for r in rules))
+    # in_order goes to a column, which is computed once.
+    found = scan(docs, rules).withColumn("__spans", in_order(rules))
+    return found.withColumn("text", redacted(F.col("text"), F.col("__spans"))).drop("__spans", *(PREFIX + r.kind for r in rules))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:

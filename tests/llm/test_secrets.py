@@ -95,3 +95,25 @@ def test_whole_keys_and_long_tokens(spark):
     found = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(df).collect()}
     every = [(r.kind, re.compile(r.regex, re.A), r.group, r.least) for r in secrets.RULES]
     assert all(found[k] == shown(spans(t, every)) for k, t in enumerate(texts))
+
+
+def test_redaction_by_brute_force(spark):
+    """Spans that touch, overlap and lie in each other, over characters of one to four bytes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    draw, rows = random.Random(4), []
+    for k in range(60):
+        text = "".join(draw.choice("aé漢😀 \n") for _ in range(draw.randrange(1, 60)))
+        spans = sorted((s, draw.randrange(3), min(len(text), s + draw.randrange(1, 9)), draw.choice(["hex", "pem"])) for s in (draw.randrange(len(text)) for _ in range(draw.choice([0, 1, 2, 5, 40]))))
+        rows.append((k, text, spans))
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,rule:int,end:int,kind:string>>")
+    got = {r[0]: r[1] for r in df.select("doc_id", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
+    for k, text, spans in rows:
+        out, at = "", 0
+        for start, _, end, kind in spans:
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert got[k] == out + text[at:]
