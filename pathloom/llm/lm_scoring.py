@@ -1,12 +1,14 @@
 """Language-model scoring with a gated recurrent network.
 
-The model factors a word's probability by classes: p(word | history) = p(class | history) p(word | class). A gated recurrent unit (numpy,
-trained by truncated backpropagation through time) gives the first factor from the whole history of the document: its state is carried across
-windows, from the document's first token to its end. The second factor comes from counts over all training tokens, with one added.
+The model factors a word's probability by classes: p(word | history) = p(class | history) p(word | class, history). A gated recurrent unit (numpy,
+trained by truncated backpropagation through time) carries the document's history: its state goes across windows, from the document's first token
+to its end. The first factor is a softmax of the state. So is the second for the classes of embedded words, each of which has a vector of its own
+beside its training count; in the classes by spelling, whose words are rare, it is the share of the counts with one added.
 
-* ``frequent_words``: a dictionary of at most ``DICTIONARY`` frequent words; each task offers those frequent in its part.
+* ``word_counts``: training counts of all words, exact, as a written table.
+* ``frequent_words``: the dictionary, the ``DICTIONARY`` most frequent of them.
 * ``encode``: every document as word ids (written once). Other words, the *tail*, are kept by spelling with their counts in the document.
-* ``tail_counts``: training counts of tail words, by one shuffle on the word. A tail word is rare, so no word gathers many rows.
+* ``tail_logs``: tail words joined with their training counts; the join's hot words are split by adaptive execution.
 * ``profiles``: training counts of dictionary words, and a random projection of the documents each one occurs in; k-means on these gives the
   classes of the ``EMBEDDED`` most frequent words. The others belong to classes by spelling.
 * ``train``: rounds over disjoint parts of the training documents, each as large as those before together or larger. In a round every task
@@ -32,7 +34,7 @@ from itertools import repeat
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, text_bytes, words_of, written
@@ -44,7 +46,7 @@ SPELLING_CLASSES = 8
 PROFILE = 16
 HIDDEN = 8
 WINDOW = 32
-TRAIN_WINDOW = 16
+TRAIN_WINDOW = 32
 STREAMS = 512
 LEAST_STREAM = 2048
 BUFFER_TOKENS = 4_000_000
@@ -56,6 +58,8 @@ TAIL = DICTIONARY + 1  # ids from here on: tail words by spelling class
 UNKNOWN = 65_535
 CLASSES = 1 + WORD_CLASSES + SPELLING_CLASSES  # the end token is a class of its own
 CHUNK = 4096  # parameters in a row while copies are averaged
+SHARES = 32  # in which the copies are added up first
+FLUSH = 1 << 18  # distinct words that a task holds while it counts
 
 
 def fold(doc_id: int | None) -> int:
@@ -71,25 +75,25 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_bytes())
 
 
-def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> list[bytes]:
-    """Up to ``most`` words that are frequent in training documents, most frequent first; ties by spelling."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: the count of every word in training documents. A task hands on what it has counted whenever it holds ``FLUSH`` words; no count is lost."""
 
     def each(rows: Iterator[tuple]) -> Iterator[tuple]:
         counts: Counter = Counter()
         for doc_id, text in rows:
             if fold(doc_id) != HELD_OUT:
                 counts.update(words_of(text))
-                if len(counts) > 1 << 20:  # the rarest cannot be among the most frequent of so many
-                    counts = Counter({w: n for w, n in counts.items() if n > 1})
-                    if len(counts) > 1 << 19:
-                        counts = Counter(dict(counts.most_common(1 << 19)))
-        if len(counts) > most:  # sort no more than those that can be among the most frequent
-            least = np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -most)[-most]
-            counts = Counter({w: n for w, n in counts.items() if n >= least})
-        yield from sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+                if len(counts) >= FLUSH:
+                    yield from counts.items()
+                    counts.clear()
+        yield from counts.items()
 
-    found = map_rows(_tokens(docs), "word binary, n long", each).groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return written(map_rows(_tokens(docs), "word binary, n long", each).groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def frequent_words(counts: DataFrame, most: int = DICTIONARY) -> list[tuple[bytes, int]]:
+    """The ``most`` most frequent words with their counts, most frequent first; ties by spelling."""
+    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def encode(docs: DataFrame, dictionary: list[bytes]) -> DataFrame:
@@ -112,21 +116,21 @@ def encode(docs: DataFrame, dictionary: list[bytes]) -> DataFrame:
     return written(map_rows(_tokens(docs), schema, each, chunk=1024))
 
 
-def tail_counts(encoded: DataFrame) -> tuple[DataFrame, list[int]]:
-    """key, logs (sum of log10(count + 1) over the document's tail tokens), known (those with a count); distinct words by spelling class."""
-    rows = encoded.select("key", (F.col("fold") != HELD_OUT).alias("train"), F.explode(F.arrays_zip("tail", "tail_n")).alias("t"))
-    of_word = Window.partitionBy("word")
-    rows = rows.select("key", "train", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
-    rows = rows.withColumn("c", F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).over(of_word)).withColumn("low", F.min("key").over(of_word))
+def tail_logs(encoded: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """key, logs (sum of log10(count + 1) over the document's tail tokens), known (those with a count). ``most``: what a tail word counts at most."""
+    rows = encoded.select("key", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("key", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("own"))
+    met = rows.join(counts.where(F.col("n") <= most), "word", "left")
+    logs = F.sum(F.col("own") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs")
+    return met.groupBy("key").agg(logs, F.sum(F.when(F.col("n") > 0, F.col("own")).otherwise(0)).cast("long").alias("known"))
+
+
+def distinct_by_spelling(counts: DataFrame) -> np.ndarray:
+    """Number of words in each class by spelling."""
     letters = F.expr("substring(word, greatest(length(word) - 2, 1), 3)")
-    # Besides its document's row, the first row of each word known from training leaves one for the word's class, under a negative key.
-    own = F.struct("key", (F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known"))
-    new = F.struct((-1 - F.pmod(F.crc32(letters), F.lit(SPELLING_CLASSES))).cast("long").alias("key"), F.lit(0.0).alias("logs"), F.lit(1).cast("long").alias("known"))
-    first = (F.col("key") == F.col("low")) & (F.col("c") > 0)
-    parts = rows.select(F.inline(F.when(first, F.array(own, new)).otherwise(F.array(own))))
-    summed = written(parts.groupBy("key").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known")))
-    distinct = {-1 - r["key"]: r["known"] for r in summed.where("key < 0").collect()}
-    return summed.where("key >= 0"), [distinct.get(k, 0) for k in range(SPELLING_CLASSES)]
+    out = np.zeros(SPELLING_CLASSES, np.int64)
+    for k, n in counts.groupBy(F.pmod(F.crc32(letters), F.lit(SPELLING_CLASSES))).count().collect():
+        out[k] = n
+    return out
 
 
 def profiles(encoded: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +185,11 @@ def word_classes(counts: np.ndarray, vectors: np.ndarray, dictionary: list[bytes
 class Network:
     """Gated recurrent unit from word ids to class probabilities. ``inputs`` maps an id to a row of the embedding.
 
-    Arrays of a window are (time, feature, stream), so that each feature's streams lie together.
+    With ``counts`` of the first ids, the words of their classes also have probabilities of their own. Arrays of a window are (time, feature,
+    stream), so that each feature's streams lie together.
     """
 
-    def __init__(self, inputs: np.ndarray, classes: np.ndarray, prior: np.ndarray):
+    def __init__(self, inputs: np.ndarray, classes: np.ndarray, prior: np.ndarray, counts: np.ndarray | None = None):
         g = np.random.default_rng(3)
         rows = int(inputs.max()) + 1
         self.inputs, self.classes = inputs.astype(np.uint16), classes
@@ -192,6 +197,16 @@ class Network:
         e = g.standard_normal(self.shapes[0]).astype(np.float32) * 0.1
         e[:, :HIDDEN] -= 1.0  # the state changes slowly at first
         self.params = [e, g.standard_normal(self.shapes[1]).astype(np.float32) * 0.3, np.zeros(self.shapes[2], np.float32), np.log(prior).astype(np.float32)]
+        self.members: list[tuple[int, np.ndarray, np.ndarray]] = []  # class, its ids, the logs of their shares
+        if counts is not None and len(counts) > 1:
+            self.shapes.append((len(counts), HIDDEN))
+            self.params.append(np.zeros(self.shapes[4], np.float32))
+            self.place = np.zeros(len(classes), np.int64)
+            for c in np.unique(classes[1 : len(counts)]).tolist():
+                ids = 1 + np.nonzero(classes[1 : len(counts)] == c)[0]
+                self.place[ids] = np.arange(len(ids))
+                n = counts[ids] + 1.0
+                self.members.append((c, ids, np.log(n / n.sum()).astype(np.float32)))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params])
@@ -205,7 +220,7 @@ class Network:
 
     def window(self, given: np.ndarray, keep: list, h: np.ndarray, save: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of the inputs ``given`` (time, stream), from the state ``h``; ``keep`` is 0 where a document begins."""
-        e, u, _, _ = self.params
+        e, u = self.params[:2]
         x = np.ascontiguousarray(e[given].transpose(0, 2, 1))
         states = np.empty((len(given), HIDDEN, given.shape[1]), np.float32)
         for t in range(len(given)):
@@ -237,6 +252,37 @@ class Network:
         total = logits.sum(1)
         return own - np.log(total), logits, total
 
+    def log_words(self, states: np.ndarray, ids: np.ndarray, grads: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Natural log probability of each word (time, stream) within its class; 0 for words that have none of their own.
+
+        With ``grads`` (weight of each token, gradient of the vectors, gradient of the states as (token, feature)) also adds the loss's gradients.
+        """
+        out = np.zeros(ids.size, np.float32)
+        flat, rows = ids.ravel(), states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        own = self.classes[flat]
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
+        for c, members, shares in self.members:
+            at = order[ends[c] : ends[c + 1]]
+            if not len(at):
+                continue
+            x, v, place = rows[at], self.params[4][members], self.place[flat[at]]
+            logits = x @ v.T
+            np.clip(logits, -20, 20, out=logits)
+            logits += shares
+            mine = logits[np.arange(len(at)), place]
+            np.exp(logits, out=logits)
+            total = logits.sum(1)
+            out[at] = mine - np.log(total)
+            if grads is not None:
+                weight, dv, dx = grads
+                logits /= total[:, None]
+                logits[np.arange(len(at)), place] -= 1
+                logits *= weight[at][:, None]
+                dv[members] += logits.T @ x
+                dx[at] = logits @ v
+        return out.reshape(ids.shape)
+
 
 @dataclass
 class Streams:
@@ -300,22 +346,31 @@ def _windows(s: Streams, network: Network, width: int = WINDOW) -> Iterator[tupl
         yield at, stop, n, network.inputs[shifted[at:stop, :n]], keep, network.classes[s.ids[at:stop, :n]]
 
 
+def _weights(s: Streams, at: int, stop: int, n: int) -> np.ndarray:
+    """1 for tokens inside their streams, over the number of these."""
+    inside = (np.arange(at, stop)[:, None] < s.lengths[None, :n]).astype(np.float32)
+    return inside / max(1.0, float(inside.sum()))
+
+
 def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float = 0.12) -> None:
     """One pass of truncated backpropagation with Adagrad over the streams; the state goes on from window to window."""
     h = np.zeros((HIDDEN, s.ids.shape[1]), np.float32)
     for at, stop, n, given, keep, targets in _windows(s, network, TRAIN_WINDOW):
         h, save = np.ascontiguousarray(h[:, :n]), []
         states, h = network.window(given, keep, h, save)
-        inside = np.arange(at, stop)[:, None] < s.lengths[None, :n]
+        weights = _weights(s, at, stop, n)
         _, d, total = network.log_classes(states, targets)
         d /= total[:, None]
         np.put_along_axis(d, targets[:, None], np.take_along_axis(d, targets[:, None], 1) - 1, 1)
-        d *= np.float32(1 / max(1, inside.sum()))
-        if not inside.all():
-            d *= inside[:, None]
-        e, u, w, _ = network.params
+        d *= weights[:, None]
+        e, u, w = network.params[:3]
         grads = [None, None, np.matmul(d, states.transpose(0, 2, 1)).sum(0), d.sum(2).sum(0)]
         back = w.T @ d
+        if network.members:
+            dv, dx = np.zeros(network.shapes[4], np.float32), np.zeros((weights.size, HIDDEN), np.float32)
+            network.log_words(states, s.ids[at:stop, :n], (weights.ravel(), dv, dx))
+            grads.append(dv)
+            back = back + dx.reshape(len(given), n, HIDDEN).transpose(0, 2, 1)
         da_all, dx_all = np.empty((len(given), 3 * HIDDEN, n), np.float32), np.empty((len(given), 3 * HIDDEN, n), np.float32)
         dh = np.zeros((HIDDEN, n), np.float32)
         for t in range(len(given) - 1, -1, -1):
@@ -334,7 +389,7 @@ def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float =
                 dh = dh * keep[t]
         grads[1] = np.matmul(da_all, np.stack([x[0] for x in save]).transpose(0, 2, 1)).sum(0)
         scale = min(1.0, 1.0 / (math.sqrt(sum(float((g * g).sum()) for g in grads[1:])) + 1e-9))
-        for k in (1, 2, 3):
+        for k in range(1, len(grads)):
             g = grads[k] * scale
             slopes[k] += g * g
             network.params[k] -= rate * g / np.sqrt(slopes[k])
@@ -375,52 +430,59 @@ def train(encoded: DataFrame, network: Network) -> None:
             if tokens:
                 change = (network.flat() - start).astype(np.float64) * tokens
                 for k in range(0, len(change), CHUNK):
-                    yield k, tokens, change[k : k + CHUNK].tobytes()
+                    yield k, TaskContext.get().partitionId() % SHARES, tokens, change[k : k + CHUNK].tobytes()
 
         def total(rows: Iterator[tuple]) -> Iterator[tuple]:
             at, tokens, change = None, 0, np.zeros(0)
-            for k, n, data in rows:
-                if k != at:
+            for k, share, n, data in rows:
+                if (k, share) != at:
                     if at is not None:
-                        yield at, tokens, change.tobytes()
-                    at, tokens, change = k, 0, np.zeros(len(data) // 8)
+                        yield *at, tokens, change.tobytes()
+                    at, tokens, change = (k, share), 0, np.zeros(len(data) // 8)
                 tokens, change = tokens + n, change + np.frombuffer(data)
             if at is not None:
-                yield at, tokens, change.tobytes()
+                yield *at, tokens, change.tobytes()
 
         part = encoded.where(F.col("fold").isin(*remainders)).select("ids")
-        schema = "k int, tokens long, change binary"
-        summed = map_rows(written(map_rows(part, schema, copies)).repartition("k").sortWithinPartitions("k"), schema, total)
+        schema = "k int, share int, tokens long, change binary"
+        summed = written(map_rows(part, schema, copies))
+        for whole in (False, True):  # within each share of the tasks, then over the shares
+            rows = summed.withColumn("share", F.lit(0)) if whole else summed
+            summed = map_rows(rows.repartition("k", "share").sortWithinPartitions("k", "share"), schema, total)
         flat = start.copy()
-        for k, tokens, change in summed.collect():  # the size of the parameters
+        for k, _, tokens, change in summed.collect():  # the size of the parameters
             flat[k : k + CHUNK] += (np.frombuffer(change) / tokens).astype(np.float32)
         network.load(flat)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs`` (doc_id, text)."""
-    dictionary = frequent_words(docs)
+    every = word_counts(docs)
+    known_words = frequent_words(every)
+    dictionary = [w for w, _ in known_words]
     encoded = encode(docs, dictionary)
-    tails, tail_distinct = tail_counts(encoded)
+    tails = tail_logs(encoded, every, known_words[-1][1] if known_words else 0)
     counts, vectors = profiles(encoded, len(dictionary))
     classes = word_classes(counts, vectors, dictionary)
     total = int(counts.sum())
     listed = counts[:TAIL] > 0
-    distinct = int(listed.sum()) + sum(tail_distinct)
+    tail_distinct = distinct_by_spelling(every) - np.bincount([spelling(w) for w in dictionary], minlength=SPELLING_CLASSES)
+    distinct = int(listed.sum() + tail_distinct.sum())
 
     # Words of a class: its training tokens, and its distinct words; one more for those never seen.
     in_class = np.bincount(classes, weights=counts, minlength=CLASSES)
     kinds = np.bincount(classes[:TAIL][listed], minlength=CLASSES).astype(float)
     kinds[1 + WORD_CLASSES :] += tail_distinct
     word_logs = np.log10(counts + 1.0)
-    word_logs[TAIL:] = 0.0  # the tail's logs come from tail_counts
+    word_logs[TAIL:] = 0.0  # the tail's logs come from tail_logs
     class_logs = word_logs - np.log10(in_class + kinds + 1)[classes]
+    class_logs[: len(vectors)] = 0.0  # the network's second softmax; the end token is a class of its own
 
     inputs = np.arange(len(counts))
     rare = classes > WORD_CLASSES
     inputs[rare] = len(vectors) + classes[rare] - 1 - WORD_CLASSES
     inputs[(~rare) & (inputs >= len(vectors))] = 0
-    network = Network(inputs, classes, (in_class + 1) / (in_class + 1).sum())
+    network = Network(inputs, classes, (in_class + 1) / (in_class + 1).sum(), counts[: len(vectors)])
     train(encoded, network)
     start = network.flat()
 
@@ -433,7 +495,7 @@ def score(docs: DataFrame) -> DataFrame:
             h = np.zeros((HIDDEN, s.ids.shape[1]), np.float32)
             for at, stop, n, given, keep, targets in _windows(s, network):
                 states, h = network.window(given, keep, h[:, :n])
-                logs[at:stop, :n] = network.log_classes(states, targets)[0]
+                logs[at:stop, :n] = network.log_classes(states, targets)[0] + network.log_words(states, s.ids[at:stop, :n])
             for (key, doc_id, part, ids), (stream, at, n) in zip(held, s.places, strict=True):
                 known = int((counts[ids[ids < TAIL]] > 0).sum())
                 yield key, doc_id, part == HELD_OUT, n, known, float(word_logs[ids].sum()), float(logs[at : at + n, stream].sum() / math.log(10) + class_logs[ids].sum())

@@ -106,3 +106,50 @@ def test_empty_and_only_held_out(docs, empty, spark):
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:5]
     got = lm.score(spark.createDataFrame([(k, "some words") for k in held], "doc_id long, text string")).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(0, 0, 0.0)] * 5
+
+
+def worded():
+    """A network in which the words of a class have probabilities of their own."""
+    r = np.random.default_rng(5)
+    classes = np.concatenate([[0], r.integers(1, 4, 19)])
+    n = lm.Network(np.arange(20), classes, np.full(lm.CLASSES, 1 / lm.CLASSES), np.arange(20) * 3)
+    n.params[2] = r.normal(size=n.params[2].shape).astype(np.float32) * 0.5
+    n.params[4] = r.normal(size=n.params[4].shape).astype(np.float32)
+    return n
+
+
+def test_words_of_a_class_sum_to_one_and_see_the_state():
+    net = worded()
+    states, _ = net.window(np.array([[3, 4]]), [None], np.zeros((lm.HIDDEN, 2), np.float32))
+    each = np.array([net.log_words(states, np.full((1, 2), w))[0] for w in range(20)])
+    for c in range(1, 4):
+        assert np.exp(each[net.classes == c]).sum(0) == pytest.approx(1.0, rel=1e-5)
+    assert (each[0] == 0).all() and not np.allclose(each[:, 0], each[:, 1])
+
+
+def test_gradient_with_words():
+    net, r = worded(), np.random.default_rng(6)
+    s = lm.lay_out([r.integers(0, 20, lm.TRAIN_WINDOW // 2).astype(np.uint16) for _ in range(6)], 3)
+
+    def loss(n):
+        ((at, stop, k, given, keep, targets),) = lm._windows(s, n, lm.TRAIN_WINDOW)
+        states = n.window(given, keep, np.zeros((lm.HIDDEN, k), np.float32))[0]
+        return -(n.log_classes(states, targets)[0] + n.log_words(states, s.ids[at:stop, :k])).mean()
+
+    start = net.flat()
+    lm.learn(net, s, [np.full(shape, 1e12, np.float32) for shape in net.shapes], rate=1e3)
+    step = net.flat() - start
+    net.load(start + 3 * step)
+    up = loss(net)
+    net.load(start - 3 * step)
+    assert (up - loss(net)) / 6 == pytest.approx(-float((step * step).sum()) * 1e3, rel=0.15)
+
+
+def test_counting_in_parts(docs, rows, monkeypatch):
+    """Counts that a task hands on early add up to the same dictionary."""
+    counts = lm.word_counts(docs)
+    whole = lm.frequent_words(counts)
+    monkeypatch.setattr(lm, "FLUSH", 5)
+    assert lm.frequent_words(lm.word_counts(docs.repartition(7))) == whole
+    expected = Counter(w for d, t in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2 for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()))
+    assert whole == sorted(expected.items(), key=lambda x: (-x[1], x[0]))
