@@ -46,7 +46,8 @@ SPELLING_CLASSES = 8
 PROFILE = 16
 HIDDEN = 8
 WINDOW = 32
-TRAIN_WINDOW = 32
+TRAIN_WINDOW = 16
+WORD_RATE = 0.25  # of the learning rate, for the vectors of words
 STREAMS = 512
 LEAST_STREAM = 2048
 BUFFER_TOKENS = 4_000_000
@@ -392,7 +393,7 @@ def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float =
         for k in range(1, len(grads)):
             g = grads[k] * scale
             slopes[k] += g * g
-            network.params[k] -= rate * g / np.sqrt(slopes[k])
+            network.params[k] -= (WORD_RATE if k == 4 else 1) * rate * g / np.sqrt(slopes[k])
         rows = given.ravel()
         order = np.argsort(rows, kind="stable")
         first = np.r_[0, np.nonzero(np.diff(rows[order].astype(np.int32)))[0] + 1]

@@ -127,7 +127,8 @@ def test_words_of_a_class_sum_to_one_and_see_the_state():
     assert (each[0] == 0).all() and not np.allclose(each[:, 0], each[:, 1])
 
 
-def test_gradient_with_words():
+def test_gradient_with_words(monkeypatch):
+    monkeypatch.setattr(lm, "WORD_RATE", 1)
     net, r = worded(), np.random.default_rng(6)
     s = lm.lay_out([r.integers(0, 20, lm.TRAIN_WINDOW // 2).astype(np.uint16) for _ in range(6)], 3)
 
