@@ -4,8 +4,10 @@
 record) or plain. Files go to the shared folder; their names carry the task attempt, and only the files that the manifest lists count, so
 retried and speculative tasks do no harm.
 
-``read_archives`` streams the files. Every record is checked: gzip's own sums, the record's form and length, and the payload's SHA-1 digest where
-there is one; records of all types are read. After a failed check the salvage reader looks for the next valid gzip member or version line, goes on there, and reports the bytes between as a gap.
+``read_archives`` streams the files. Every record is checked: gzip's own sums, the record's form and length, and the payload's digest where there is
+one of a known kind, in hex or base32; records of all types are read, with field names in any case. After a failed check the salvage reader looks
+for the next valid gzip member or version line, goes on there, and reports the bytes between as a gap: a row of the result. What it looks for is
+remembered (``Window.find``), so damage is searched once and not again from each place where a record might have begun.
 
 Defined cases: null html is an empty payload, and empty payloads are equal to each other; a null url is left out; of repeated rows with one
 page_id all are responses if that page_id is the largest; rows without a page_id are revisits of an equal page that has one, and otherwise
@@ -36,7 +38,9 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the pages bear no dates
 FILE_BYTES = 64 << 20
-MANDATORY = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"}
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
+#: Digests by the labels that archives give them.
+DIGESTS = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha512": hashlib.sha512, "sha-512": hashlib.sha512, "md5": hashlib.md5}
 CHUNK = 16 << 10
 MAGIC = b"\x1f\x8b\x08"
 #: Digests of payloads that several pages have: up to this many are broadcast, beyond that the join is a shuffle.
@@ -116,7 +120,7 @@ class Record:
 
     start: int
     end: int
-    head: dict[str, str]
+    head: Fields
     payload: bytes
     payload_bytes: int
 
@@ -134,6 +138,7 @@ class Window:
 
     def __init__(self, file, size: int, stretch: int = 1 << 20):
         self.file, self.size, self.stretch, self.at, self.held = file, size, stretch, 0, b""
+        self.last: dict[bytes, tuple[int, int]] = {}  # from where each text was last looked for, and where it was found
 
     def get(self, start: int, length: int) -> bytes:
         if not self.at <= start or start + length > self.at + len(self.held):
@@ -143,43 +148,82 @@ class Window:
 
     def find(self, what: bytes, start: int) -> int:
         """Where ``what`` next begins; -1 if nowhere."""
-        while start < self.size:
-            part = self.get(start, self.stretch)
-            if (k := part.find(what)) >= 0:
-                return start + k
-            if len(part) < self.stretch:
-                return -1
-            start += len(part) - len(what) + 1
+        since, found = self.last.get(what, (self.size, -1))
+        if not (since <= start and (found < 0 or start <= found)):
+            found = self._search(what, start)
+            self.last[what] = (start, found)
+        return found
+
+    def _search(self, what: bytes, start: int) -> int:
+        while start + len(what) <= self.size:
+            if not self.at <= start or start + len(what) > self.at + len(self.held):
+                self.get(start, self.stretch)
+            if (k := self.held.find(what, start - self.at)) >= 0:
+                return self.at + k
+            start = self.at + len(self.held) - len(what) + 1
         return -1
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], int] | None:
+class Fields(dict):
+    """Header fields by names in any case; of several with one name the first."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        super().__init__({name.lower(): value for name, value in reversed(pairs)})
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def _parse(data: bytes) -> tuple[Fields, int] | None:
     """Header fields and where the block begins; None if this is no record head."""
     end = data.find(b"\r\n\r\n") if data.startswith(b"WARC/1.") else -1
     if end < 0:
         return None
     try:
-        lines = data[:end].decode().split("\r\n")
+        lines = re.sub(r"\r\n[ \t]+", " ", data[:end].decode()).split("\r\n")  # a line that begins with a blank goes on from the one before
     except UnicodeDecodeError:
         return None
-    head = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-    if len(head) != len(lines) - 1 or not MANDATORY <= head.keys() or not re.fullmatch("<[^<> ]+>", head["WARC-Record-ID"]):
+    pairs = []
+    for line in lines[1:]:
+        name, colon, value = line.partition(":")
+        if not colon or not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name):
+            return None
+        pairs.append((name, value.strip(" \t")))
+    head = Fields(pairs)
+    if not MANDATORY <= head.keys() or not re.fullmatch("<[^<> ]+>|[^<> ]+", head["warc-record-id"]):
         return None
-    if not head["Content-Length"].isascii() or not head["Content-Length"].isdigit():
+    if not head["content-length"].isascii() or not head["content-length"].isdigit():
         return None
     return head, end + 4
 
 
-def _checked(head: dict[str, str], block: bytes, start: int, end: int) -> Record | None:
-    """The record, of whatever type; None if it has a SHA-1 digest of another payload (a revisit has the original's, a segment the whole's)."""
-    kind, digest = head["WARC-Type"], head.get("WARC-Payload-Digest", "")
-    http = block.startswith(b"HTTP/") or head.get("Content-Type", "").startswith("application/http")
+def _false_digest(digest: str, payload: bytes) -> bool:
+    """A digest of a known kind that is not the payload's, whether in hex or in base32 and with padding or without."""
+    kind, _, value = digest.partition(":")
+    if not value or kind.lower() not in DIGESTS:
+        return False
+    own = DIGESTS[kind.lower()](payload).digest()
+    return value.upper().rstrip("=") not in (own.hex().upper(), base64.b32encode(own).decode().rstrip("="))
+
+
+def _checked(head: Fields, block: bytes, start: int, end: int) -> Record | None:
+    """The record, of whatever type; None if it has a digest of another payload (a revisit has the original's, a segment the whole's, chunks perhaps the joined ones')."""
+    kind = head["warc-type"].lower()
+    http = block.startswith(b"HTTP/") or head.get("content-type", "").lower().startswith("application/http")
     body = (k + 4 if (k := block.find(b"\r\n\r\n")) >= 0 else len(block)) if http else 0
     payload = block[body:]
-    checked = kind != "revisit" and "WARC-Segment-Number" not in head and digest.startswith("sha1:")
-    if checked and digest[5:] not in (base32_sha1(payload), hashlib.sha1(payload).hexdigest()):
+    if _false_digest(head.get("warc-block-digest", ""), block):
+        return None
+    chunked = re.search(rb"(?i)\r\nTransfer-Encoding:[ \t]*chunked", block[:body])  # its digest may be that of the joined chunks
+    if kind != "revisit" and not chunked and "warc-segment-number" not in head and _false_digest(head.get("warc-payload-digest", ""), payload):
         return None
-    told = re.search(rb"(?i)\r\nContent-Length: *(\d+)\r\n", block[:body])
+    told = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", block[:body])
     return Record(start, end, head, payload, int(told[1]) if told and kind == "revisit" else len(payload))
 
 
@@ -198,7 +242,7 @@ def _member_at(window: Window, start: int) -> Record | None:
     if not (found := _parse(data)):
         return None
     head, body = found
-    stop = body + int(head["Content-Length"])
+    stop = body + int(head["content-length"])
     return _checked(head, data[body:stop], start, end) if data[stop:] == b"\r\n\r\n" else None
 
 
@@ -207,7 +251,7 @@ def _plain_at(window: Window, start: int) -> Record | None:
     if end < 0 or not (found := _parse(window.get(start, end + 4 - start))):
         return None
     head, body = found
-    stop = start + body + int(head["Content-Length"])
+    stop = start + body + int(head["content-length"])
     if stop + 4 > window.size or window.get(stop, 4) != b"\r\n\r\n":
         return None
     return _checked(head, window.get(start + body, stop - start - body), start, stop + 4)
@@ -254,8 +298,9 @@ def read_archives(manifest: DataFrame, whole: bool = False) -> DataFrame:
                         log.warning("%s: bytes %d to %d hold no valid record", path, x.start, x.end)
                         yield path, "gap", None, None, None, None, None, None, x.start, x.end
                     else:
-                        kind, read = x.head["WARC-Type"], read + 1
-                        yield path, kind, page(x.head.get("WARC-Record-ID")), x.head.get("WARC-Target-URI"), x.payload_bytes, x.head["WARC-Payload-Digest"].removeprefix("sha1:") if "WARC-Payload-Digest" in x.head else None, page(x.head.get("WARC-Refers-To")), None if kind == "revisit" else x.payload, None, None
+                        kind, read, digest = x.head["warc-type"].lower(), read + 1, x.head.get("warc-payload-digest")
+                        url, refers = x.head.get("warc-target-uri"), page(x.head.get("warc-refers-to"))
+                        yield path, kind, page(x.head["warc-record-id"]), url, x.payload_bytes, digest and digest.removeprefix("sha1:"), refers, None if kind == "revisit" else x.payload, None, None
             if whole and read != records:
                 raise ValueError(f"{path}: {read} of {records} records")
 

@@ -119,3 +119,36 @@ def test_round_trip_is_whole_or_fails(spark, tmp_path):
         manifest = spark.createDataFrame([(str(tmp_path / f"{k}.warc.gz"), f"file://{tmp_path}", records)], "path string, folder string, records long")
         with pytest.raises(Exception, match="2 of 3 records|no valid record"):
             warc.read_archives(manifest, whole=True).collect()
+
+
+def test_other_writers_records():
+    """Field names in any case, folded lines, digests in hex and of other kinds, no inner length."""
+    import hashlib
+
+    def other(block, *fields):
+        return ("\r\n".join(["WARC/1.0", "warc-type:response", "WARC-RECORD-ID: <urn:x:1>", "Warc-Date:  2020-01-01T00:00:00Z", *fields, f"content-length:{len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    block = b"HTTP/1.0 200 OK\r\n\r\nbody"
+    good = [
+        other(block), other(block, "WARC-Payload-Digest: SHA-256:" + hashlib.sha256(b"body").hexdigest()), other(block, "warc-payload-digest: md5:" + hashlib.md5(b"body").hexdigest().upper()),
+        other(block, "WARC-Block-Digest: sha1:" + hashlib.sha1(block).hexdigest(), "X-Note: a\r\n  b"), other(block, "WARC-Payload-Digest: blake9:whatever"),
+    ]
+    found = read(b"".join(good))
+    assert [x.payload for x in found] == [b"body"] * 5 and found[3].head["x-note"] == "a b"
+    bad = other(block, "WARC-Payload-Digest: sha256:" + hashlib.sha256(b"x").hexdigest())
+    found = read(good[0] + bad + good[1])
+    assert [type(x) for x in found] == [warc.Record, warc.Gap, warc.Record] and (found[1].start, found[1].end) == (len(good[0]), len(good[0] + bad))
+
+
+def test_damage_is_searched_once():
+    """Very many false beginnings without an end do not make the search quadratic."""
+    reads = []
+
+    class Counting(io.BytesIO):
+        def read(self, n=-1):
+            reads.append(n)
+            return super().read(n)
+
+    data = b"WARC/1.1 x\r\n" * 200_000
+    found = list(warc.salvage(Counting(data), len(data)))
+    assert [(x.start, x.end) for x in found] == [(0, len(data))] and len(reads) < 100
