@@ -16,8 +16,9 @@ those windows alone that have enough literal words. Windows with fewer literal w
 The benchmark's windows are broadcast while there are no more than ``BROADCAST_WINDOWS``; beyond that all windows of the documents are hashed
 and joined by a shuffle, with the same result.
 
-Defined cases: null text counts as empty and matches nothing; items with fewer than ``LEAST`` words
-are passed over, as so short a phrase occurs in clean texts too; items shorter than a window are one window; repeated rows count once; rows without doc_id or
+Defined cases: null text counts as empty and matches nothing; items with fewer than ``least``
+words are passed over (``LEAST`` by default; the registered query and the pipeline pass over none); items with fewer than ``LEAST`` words are matched
+word for word alone, as so short a template would fit clean texts; items shorter than a window are one window; repeated rows count once; rows without doc_id or
 item_id are passed over; empty tables give an empty result; further columns do not matter.
 """
 
@@ -95,14 +96,14 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """item_id, q (place), n_windows, n_rich (those with enough literal words), rich, reading, win (words in that reading), plain, slots, anchor (literal word), off."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    items = items.select("item_id", marked_words(F.col("text")).alias("m")).where(F.size("m") >= LEAST)
+    items = items.select("item_id", marked_words(F.col("text")).alias("m")).where(F.size("m") >= max(1, least))
     width = F.least(F.lit(WIDTH), F.size("m"))
-    spots = items.select("item_id", "m", F.explode(F.sequence(F.lit(0), F.size("m") - width)).alias("q"), width.alias("width"))
-    spots = spots.select("item_id", "q", F.expr("slice(m, q + 1, width)").alias("m"))
-    readings = F.explode(F.array(*(F.lit(x) for x in (TEMPLATE, OPENERS, EXACT))))
+    spots = items.select("item_id", "m", F.explode(F.sequence(F.lit(0), F.size("m") - width)).alias("q"), width.alias("width"), (F.size("m") < LEAST).alias("short"))
+    spots = spots.select("item_id", "q", F.expr("slice(m, q + 1, width)").alias("m"), "short")
+    readings = F.explode(F.when(F.col("short"), F.array(F.lit(EXACT))).otherwise(F.array(*(F.lit(x) for x in (TEMPLATE, OPENERS, EXACT)))))
     spots = spots.withColumn("rich", _rich(F.transform("m", lambda w: _read(w, F.lit(TEMPLATE))))).withColumn("reading", readings)
     # Without names and openers the two templates are one.
     spots = spots.where((F.col("reading") != OPENERS) | F.exists("m", lambda w: _first(w).isin("1", "3")))
@@ -120,7 +121,7 @@ def _rich(win: Column) -> Column:
     return F.size(F.filter(win, lambda w: ~_is_slot(w))) * 2 >= F.size(win)
 
 
-def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool) -> DataFrame:
+def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, q, rich, n_windows, n_rich, reading, start, slots, dplain, plain, win: windows of documents that equal windows of items."""
     words = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), marked_words(F.col("text")).alias("m"))
     if by_broadcast:
@@ -134,7 +135,7 @@ def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool) -> DataFram
         placed = words.select("doc_id", "m", F.posexplode_outer("m").alias("pos", "anchor")).join(F.broadcast(anchors), "anchor")
         placed = placed.where("pos >= off and pos - off + width <= size(m)").select("doc_id", "reading", (F.col("pos") - F.col("off")).alias("start"), F.expr("slice(m, greatest(pos - off + 1, 1), width)").alias("m"))
     else:
-        widths = F.array(*(F.lit(w) for w in range(LEAST, WIDTH + 1)))
+        widths = F.array(*(F.lit(w) for w in range(max(1, least), WIDTH + 1)))
         placed = words.select("doc_id", "m", F.explode(widths).alias("width")).where("width <= size(m)")
         placed = placed.select("doc_id", "m", "width", F.explode(F.sequence(F.lit(0), F.size("m") - F.col("width"))).alias("start"))
         placed = placed.select("doc_id", "start", F.expr("slice(m, start + 1, width)").alias("m"))
@@ -149,13 +150,13 @@ def matches(docs: DataFrame, windows: DataFrame, by_broadcast: bool) -> DataFram
     return found.select("doc_id", "item_id", "q", "rich", "n_windows", "n_rich", "reading", "start", "slots", own.alias("dplain"), "plain", "win")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, least: int = LEAST) -> DataFrame:
     """A row for each contaminated document and item.
 
     doc_id, item_id, n_hits (of the item's windows), n_windows, changed (slot values differ from the item's), n_occurrences.
     """
-    windows = written(benchmark_windows(benchmark))
-    found = matches(docs, windows, windows.count() <= broadcast_windows)
+    windows = written(benchmark_windows(benchmark, least))
+    found = matches(docs, windows, windows.count() <= broadcast_windows, least)
     pairs = F.when(F.col("slots"), F.filter(
         F.zip_with("win", F.zip_with("plain", "dplain", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda w, v: F.struct(w.alias("kind"), v["item"].alias("item"), v["doc"].alias("doc"))),
         lambda x: _is_slot(x["kind"]),

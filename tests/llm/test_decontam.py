@@ -87,3 +87,88 @@ def test_items_of_numbers_and_names(spark, most):
     docs = spark.createDataFrame([(1, f"see {sums}, yes"), (2, "Count: " + ITEMS[7] + " done"), (3, f"powers {few} 64"), (4, sums.replace("5", "6")), (5, "2 4 8 16 33")], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.decontaminate(docs, items, most).collect()}
     assert got == {(1, 1), (2, 2), (3, 3)}
+
+
+@pytest.mark.parametrize("most", [200_000, 0], ids=["broadcast", "shuffle"])
+def test_short_items_word_for_word(spark, most):
+    items = spark.createDataFrame([(1, "Name the capital."), (2, "2 + 2 = 4"), (3, "Zyx?"), (4, "!?")], "item_id long, text string")
+    texts = ["so: name THE capital", "name the river", "first 2 + 2 = 4 then", "2 + 3 = 5", "a zyx b", "zyxw", "name a the capital", "!?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.decontaminate(docs, items, most, least=1).collect()}
+    assert got == {(0, 1), (2, 2), (4, 3)}
+
+
+def _brute_template(text):
+    """Words with their kind (0 number, 1 name, 2 unit, 3 opener, '' other) and value, by scanning the text once."""
+    text = re.sub(r"(?<=[0-9])[.,](?=[0-9])", "", text)
+    out, units = [], set(decontam.UNITS.split())
+    for m in re.finditer(r"[^\W_]+", text):
+        w, before = m[0], text[: m.start()]
+        if w[0].isdigit():
+            kind = "0"
+        elif w.lower() in units and out and out[-1][0] == "0" and before.endswith(" ") and not before.endswith("  ") and before[:-1].lower().endswith(out[-1][1]):
+            kind = "2"
+        elif w[0].isupper() and len(w) > 1 and w[1].islower():
+            kind = "1" if len(before) > 1 and before[-1] == " " and (before[-2].islower() or before[-2] in "0123456789,") else "3"
+        else:
+            kind = ""
+        out.append((kind, w.lower()))
+    return out
+
+
+def _brute(doc, item):
+    """Windows of the item found in the document, by comparing all windows in all readings and checking the slots of each shift."""
+    d, i = _brute_template(doc), _brute_template(item)
+    width = min(decontam.WIDTH, len(i))
+    read = {
+        decontam.TEMPLATE: lambda k, v: k if k in ("0", "1", "2") else v,
+        decontam.OPENERS: lambda k, v: "1" if k == "3" else k if k in ("0", "1", "2") else v,
+        decontam.EXACT: lambda k, v: "n" + v if k == "0" else v,
+    }
+    rich = lambda ws: 2 * sum(w not in ("0", "1", "2") for w in ws) >= len(ws)
+    spots, n_rich, hits = range(len(i) - width + 1), 0, {}
+    for q in spots:
+        good = rich([read[decontam.TEMPLATE](*w) for w in i[q : q + width]])
+        n_rich += good
+        for reading, f in read.items():
+            win = [f(*w) for w in i[q : q + width]]
+            if reading != decontam.EXACT and (not rich(win) or len(i) < decontam.LEAST):
+                continue
+            for start in range(len(d) - width + 1):
+                if [f(*w) for w in d[start : start + width]] == win:
+                    pairs = {(k, i[q + x][1], d[start + x][1]) for x, k in enumerate(win) if k in ("0", "1", "2")}
+                    hits.setdefault((start - q, reading == decontam.OPENERS), []).append((q, good, pairs))
+    found = set()
+    for rows in hits.values():
+        pairs = set().union(*(p for *_, p in rows))
+        consistent = len({(k, a) for k, a, _ in pairs}) == len(pairs)
+        found |= {(q, good) for q, good, p in rows if consistent or not p}
+    enough, rich_hits = min(decontam.RUN, -(-len(spots) // 2)), sum(good for _, good in found)
+    return len(found) >= enough or (n_rich and rich_hits >= min(decontam.RUN, -(-n_rich // 2)))
+
+
+def test_templates_and_slots_by_brute_force(spark):
+    """Random questions, with numbers, names and units changed consistently or not, inside other text, against a comparison of all windows."""
+    import random
+
+    draw = random.Random(8)
+    names, units, plain = ["Otto", "Anna", "Karl", "Berta"], ["kg", "km", "dollars"], "the farmer gives apples to his friend and then sells some flour at market for each of them".split()
+
+    def question():
+        return [draw.choice([draw.choice(plain)] * 5 + [draw.choice(names), str(draw.randrange(9)), f"{draw.randrange(9)} {draw.choice(units)}"]) for _ in range(draw.randrange(3, 22))]
+
+    def changed(words):
+        swap = {w: draw.choice(names) if w in names else str(draw.randrange(9)) for w in {x for w in words for x in w.split()} if w in names or w.isdigit()}
+        loose = draw.random() < 0.3
+        return [" ".join((draw.choice([swap[x], "7"]) if loose and x.isdigit() else swap.get(x, x)) for x in w.split()) for w in words]
+
+    items = [question() for _ in range(14)]
+    docs = []
+    for words in items * 4:
+        body = draw.choice([words, changed(words), words[: len(words) // 2], [w.lower() for w in words]])
+        docs.append(" ".join(draw.sample(plain, draw.randrange(4))) + draw.choice([". ", ", ", " "]) + " ".join(body) + draw.choice(["", " and more.", ", yes"]))
+    items = [" ".join(w) for w in items]
+    table = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.decontaminate(table(docs, "doc_id"), table(items, "item_id"), least=1).collect()}
+    expected = {(a, b) for a, d in enumerate(docs) for b, i in enumerate(items) if _brute(d, i)}
+    assert got == expected and len(expected) > 20
