@@ -11,14 +11,17 @@ two groups):
    with nothing and drops out; most do. The same again over all tokens of the remaining sets, of which 80 % must be shared.
 3. ``candidate_groups``: the remaining sets that share tokens, directly or in a chain, form a group; linked sets are always in one group.
    Groups come from stars around each token's smallest set, so no group of pairs is built.
-4. ``tree_join``: a group with up to ``BLOCK`` sets is one task's work. A larger one is split by size class and salt into cells of about that
-   many sets, and only pairs of cells with compatible sizes meet. A task builds a signature tree: leaves of sets alike in size, inner nodes
+4. ``tree_join``: a group with up to ``BLOCK`` sets is one task's work. A larger one is dealt twice, by different hashes, into cells of about that
+   many sets of neighbouring size classes, and each cell is joined for itself (``two_dealings``). That leaves most of a large group connected, at the
+   cost of shipping each set twice. Then only what is still apart can add a link (``completion``): the sets outside the group's largest component
+   meet all sets of compatible sizes, cell by cell; pairs within that component are not compared again. A task builds a signature tree: leaves of sets alike in size, inner nodes
    with OR-combined token bitmaps and size ranges. A dual traversal prunes pairs of nodes by size and by the most overlap their bitmaps allow;
    what remains is compared exactly. Sets that are already connected need no comparison, so a group of a thousand near copies yields a
    thousand links and not half a million.
 5. Components of the links, smallest doc_id first.
 
-All of it is exact; there is no cap on partners or candidates. Defined cases: null or empty texts and texts without words have an empty set
+All of it is exact up to equal 64-bit hashes of different shingles; there is no cap on partners or candidates. In a large group the work grows in
+proportion to its size where most of it is one component, as with near copies of a text, and else with the product of its cells. Defined cases: null or empty texts and texts without words have an empty set
 and link with nothing; fewer than five words form one shingle; repeated rows fall in one component; rows without a doc_id
 get the component of an equal set, if any, and null otherwise; an empty table gives an empty result; further columns are passed over.
 """
@@ -26,12 +29,12 @@ get the component of an equal set, if any, and null otherwise; an empty table gi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, python_stage, text_bytes, words_of, written
@@ -40,11 +43,11 @@ WIDTH = 5
 PERCENT = 80
 PREFIX_PERCENT = 30
 #: Sets in a task's tree at most (of the expectation: cells are dealt by hash).
-BLOCK = 2048
+BLOCK = 1024
 BLOCK_TOKENS = 2048
 LEAF = 16
-#: Up to this many keys (a few long columns) are broadcast to the scan of the texts.
-BROADCAST_ROWS = 200_000
+#: Keys of up to this many bytes are broadcast to the scan of the texts.
+BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
 _MULTIPLIERS = [np.uint64(2 * int.from_bytes(hashlib.md5(b"shingle %d" % k).digest()[:8], "big") + 1 & (1 << 64) - 1) for k in range(64)]
@@ -161,14 +164,17 @@ def shared_tokens(rows: DataFrame, sizes: DataFrame, percent: int, prefix_percen
     return shared, written(enough.select("s"))
 
 
-def texts_of(docs: DataFrame, keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def texts_of(docs: DataFrame, keys: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``keys`` with the text of their document ``rep`` as bytes.
 
-    Up to ``most`` rows the keys are broadcast, as their count is known; beyond that the join is a shuffle of the texts.
+    Up to ``most`` bytes the keys are broadcast; beyond that the join is a shuffle of the texts. A key counts 16 bytes a column, and 64 for each of
+    its tasks.
     """
     keys = written(keys)
+    weight = F.lit(16 * len(keys.columns)) + (64 * F.size("task") if "task" in keys.columns else F.lit(0))
+    size = keys.agg(F.sum(weight)).first()[0] or 0
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text"))
-    return texts.join(F.broadcast(keys) if keys.count() <= most else keys, "rep")
+    return texts.join(F.broadcast(keys) if size <= most else keys, "rep")
 
 
 def candidate_groups(docs: DataFrame, prints: DataFrame, keys: DataFrame, width: int, percent: int, prefix_percent: int) -> DataFrame:
@@ -301,27 +307,83 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+_TASKS = "array<struct<c1:int,x1:int,c2:int,x2:int,side:int>>"
+
+
+def _load(block: int) -> Column:
+    """The sets of a group of rows in blocks: by their number or by their tokens."""
+    return F.greatest(F.count("*") / block, F.sum("n") / (block * BLOCK_TOKENS))
+
+
 def tree_join(docs: DataFrame, keys: DataFrame, groups: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """a1, a2, b1, b2: links between sets that connect each component. ``keys`` has s, f2, n and rep (a document) for each set."""
     sets = keys.join(groups, "s")
     # Size class c holds sizes in [r^c, r^(c+1)) with r = 100 / percent, so partners' classes differ by 1 at most.
     sets = sets.withColumn("cls", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
-    load = F.greatest(F.count("*") / block, F.sum("n") / (block * BLOCK_TOKENS))
-    total = sets.groupBy("grp").agg((load <= 1).alias("whole"))
-    per_class = sets.groupBy("grp", "cls").agg(F.ceil(load).cast("int").alias("own")).join(total, "grp")
-    per_class = per_class.withColumn("cls_out", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("cls"))).withColumn("cells", F.when(F.col("whole"), F.lit(1)).otherwise(F.col("own")))
-    up = per_class.select("grp", (F.col("cls") - 1).alias("cls"), F.when(~F.col("whole"), F.col("cells")).alias("above"))
-    down = per_class.select("grp", (F.col("cls") + 1).alias("cls"), F.when(~F.col("whole"), F.col("cells")).alias("below"))
-    plan = per_class.join(up, ["grp", "cls"], "left").join(down, ["grp", "cls"], "left").na.fill(0, ["above", "below"])
-    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = sets.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(plan.select("grp", "cls", "salt", "cls_out", "cells", "above", "below"), ["grp", "cls", "salt"])
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("f2", "s"), F.col("cells")).cast("int"))
-    # Tasks: (class, cell, class, cell), the smaller first; side 0 is the first cell, 1 the second.
-    own = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(F.col("cls_out").alias("c1"), F.least("cell", c).alias("x1"), F.col("cls_out").alias("c2"), F.greatest("cell", c).alias("x2"), F.when(F.col("cell") > c, 1).otherwise(0).alias("side")))
-    empty = F.array().cast("array<struct<c1:int,x1:int,c2:int,x2:int,side:int>>")
-    above = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda c: F.struct(F.col("cls_out").alias("c1"), F.col("cell").alias("x1"), (F.col("cls_out") + 1).alias("c2"), c.alias("x2"), F.lit(0).alias("side")))).otherwise(empty)
-    below = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda c: F.struct((F.col("cls_out") - 1).alias("c1"), c.alias("x1"), F.col("cls_out").alias("c2"), F.col("cell").alias("x2"), F.lit(1).alias("side")))).otherwise(empty)
-    dealt = placed.withColumn("task", F.concat(own, above, below)).select("rep", "s", "f2", "grp", "task")
+    total = sets.groupBy("grp").agg((_load(block) <= 1).alias("whole"))
+    sets = written(_salted(sets, total, ["grp"]))
+    found = _joined(docs, two_dealings(sets, block), width, percent)
+    large = sets.where("not whole")
+    if large.limit(1).count() == 0:
+        return found
+    found = written(found)
+    return found.unionByName(_joined(docs, completion(large, found, block), width, percent))
+
+
+def _salted(rows: DataFrame, per_key: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``per_key``; rows of one key are dealt by salt, so that a hot key is no single task."""
+    salted = per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"]).drop("salt")
+
+
+def two_dealings(sets: DataFrame, block: int) -> DataFrame:
+    """``sets`` with their tasks: a group as a whole, or a cell in each of two dealings, over classes 2k and 2k + 1 and over classes 2k - 1 and 2k."""
+    for k in range(2):
+        pair = F.floor((F.col("cls") + k) / 2).cast("int")
+        sets = sets.withColumn(f"p{k}", F.when(F.col("whole"), F.lit(0)).otherwise(pair))
+        cells = sets.groupBy("grp", f"p{k}").agg(F.when(F.max("whole"), 1).otherwise(F.ceil(_load(block))).cast("int").alias(f"n{k}"))
+        sets = _salted(sets, cells, ["grp", f"p{k}"])
+        sets = sets.withColumn(f"x{k}", F.pmod(F.xxhash64("f2", "s", F.lit(k)), F.col(f"n{k}")).cast("int"))
+    one, two = (F.struct((2 * F.col(f"p{k}") + k).alias("c1"), F.col(f"x{k}").alias("x1"), (2 * F.col(f"p{k}") + k).alias("c2"), F.col(f"x{k}").alias("x2"), F.lit(0).alias("side")) for k in range(2))
+    task = F.when(F.col("whole"), F.array(one)).otherwise(F.array(one, two)).cast(_TASKS)
+    return sets.select("rep", "s", "f2", "grp", task.alias("task"))
+
+
+def completion(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """The sets of large groups with those tasks that can still join components: cells of sets outside the group's largest component, with all others.
+
+    In each class the cells of sets outside come first, then those of the largest component; the latter do not meet each other.
+    """
+    linked = components(found, "a1", "b1").withColumnsRenamed({"node": "s"})
+    sets = large.select("s", "f2", "n", "rep", "grp", "cls").join(linked, "s", "left").withColumn("component", F.coalesce("component", "s"))
+    sizes = sets.groupBy("grp", "component").agg(F.count("*").alias("many"))
+    top = sizes.groupBy("grp").agg(F.max_by("component", F.struct("many", "component")).alias("top"))
+    sets = written(_salted(sets, top, ["grp"]).withColumn("out", F.col("component") != F.col("top")))
+    load = lambda out: F.ceil(F.coalesce(F.greatest(F.count_if(F.col("out") == out) / block, F.sum(F.when(F.col("out") == out, F.col("n"))) / (block * BLOCK_TOKENS)), F.lit(0))).cast("int")
+    per_class = sets.groupBy("grp", "cls").agg(load(True).alias("r"), load(False).alias("d"))
+    near = lambda step, name: per_class.select("grp", (F.col("cls") + step).alias("cls"), F.col("r").alias(f"{name}_r"), (F.col("r") + F.col("d")).alias(f"{name}_all"))
+    plan = per_class.join(near(-1, "above"), ["grp", "cls"], "left").join(near(1, "below"), ["grp", "cls"], "left").na.fill(0)
+    placed = _salted(sets, plan, ["grp", "cls"])
+    hashed = F.xxhash64("f2", "s")
+    placed = placed.withColumn("cell", F.when(F.col("out"), F.pmod(hashed, F.greatest(F.col("r"), F.lit(1)))).otherwise(F.col("r") + F.pmod(hashed, F.greatest(F.col("d"), F.lit(1)))).cast("int"))
+    empty = F.array().cast(_TASKS)
+
+    def tasks(many: Column, task: Callable[[Column], Column]) -> Column:
+        return F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), task)).otherwise(empty)
+
+    def task(c1: Column, x1: Column, c2: Column, x2: Column, side: Column) -> Column:
+        return F.struct(c1.alias("c1"), x1.alias("x1"), c2.alias("c2"), x2.alias("x2"), side.alias("side"))
+
+    cls, cell = F.col("cls"), F.col("cell")
+    met = lambda outside, inside: F.when(F.col("out"), outside).otherwise(inside)
+    own = tasks(met(F.col("r") + F.col("d"), F.col("r")), lambda c: task(cls, F.least(cell, c), cls, F.greatest(cell, c), F.when(cell > c, 1).otherwise(0)))
+    above = tasks(met(F.col("above_all"), F.col("above_r")), lambda c: task(cls, cell, cls + 1, c, F.lit(0)))
+    below = tasks(met(F.col("below_all"), F.col("below_r")), lambda c: task(cls - 1, c, cls, cell, F.lit(1)))
+    return placed.select("rep", "s", "f2", "grp", F.concat(own, above, below).alias("task")).where(F.size("task") > 0)
+
+
+def _joined(docs: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links that the tasks of ``dealt`` find. Task: (class, cell, class, cell), the smaller first; side 0 is the first cell, 1 the second."""
 
     def tokens(rows: Iterator[tuple]) -> Iterator[tuple]:
         for s, f2, grp, task, text in rows:
