@@ -1,4 +1,4 @@
-"""Golden numbers for the estimators over statistics that are given directly."""
+"""The estimators over statistics that are given directly, against the formulas written out in plain Python."""
 
 import math
 
@@ -27,58 +27,88 @@ def check(spark, kind, rows, asked, rate=0.0, hcs=0, **config):
     assert [found[k] for k in range(len(asked))] == [a[3] for a in asked]
 
 
-PLAIN = [
-    ("is_null", "a", None, 20), ("not_null", "a", None, 80), ("exists", "a", None, 100), ("exists", "a_num", None, 80), ("eq", "a_num", -1, 0), ("eq", "a_num", 16, 0),
-    ("lt", "a_num", 0, 0), ("lt", "a_num", -1, 0), ("lt", "a_num", 16, 80), ("lt", "a_num", 5, 27), ("gt", "a_num", 15, 0), ("gt", "a_num", 16, 0), ("gt", "a_num", -1, 80), ("gt", "a_num", 10, 27),
-    ("range", "a_num", (-1, 0), 0), ("range", "a_num", (-100000, 0), 0), ("range", "a_num", (16, 10000), 0), ("range", "a_num", (5, 5), 0), ("range", "a_num", (15, 16), 0),
-    ("range", "a_num", (0, 1), 6), ("range", "a_num", (14, 15), 6), ("range", "a_num", (0, 5), 27),
-]
+def up(value, rate=0.0):
+    return math.ceil(value / (1 - rate))
 
 
-@pytest.mark.parametrize(("kind", "eq"), [(StatType.BASIC, 8), (StatType.BASIC_NDV, 10), (StatType.NDV_HYPERLOG, 10)])
-def test_number(spark, kind, eq):
-    check(spark, kind, [row("a", "base", 100, 20), row("a_num", "num", 80, 0, 0, 15, 8)], [*PLAIN, ("eq", "a_num", 5, eq)])
+#: A number path: documents with the key, nulls among them, range and distinct values.
+TOTAL, NULLS, LOW, HIGH, NDV = 340, 40, 10, 250, 60
+OPERANDS = (-7, 10, 11, 57.5, 128, 249, 250, 400)
+RANGES = ((-50, -20), (0, 30), (10, 250), (40, 41), (100, 700), (249, 300), (300, 900), (77, 77))
 
 
-def test_number_sampled(spark):
-    asked = [*PLAIN, ("eq", "a_num", 5, 8), ("range", "a_num", (-5, 5), 27), ("range", "a_num", (14, 100), 6)]
-    check(spark, StatType.BASIC, [row("a", "base", 90, 18), row("a_num", "num", 72, 0, 0, 15)], asked, rate=0.1)
+def linear(op, x, valid):
+    """The share of the range that lies below or above the operand, or in the asked range."""
+    span = HIGH - LOW
+    if op == "range":
+        return max(0, min(HIGH, x[1]) - max(LOW, x[0])) / span * valid
+    return max(0, min(x - LOW if op == "lt" else HIGH - x, span)) / span * valid
+
+
+def asked_of_numbers(valid, equal, rate):
+    inside = lambda x: equal if LOW <= x <= HIGH else 0
+    rows = [(op, "p_num", x, up(linear(op, x, valid), rate)) for op in ("lt", "gt") for x in OPERANDS]
+    rows += [("range", "p_num", x, up(linear("range", x, valid), rate)) for x in RANGES]
+    return rows + [("eq", "p_num", x, up(inside(x), rate)) for x in OPERANDS] + [("exists", "p_num", None, up(valid, rate))]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.25])
+@pytest.mark.parametrize(("kind", "share"), [(StatType.BASIC, 0.1), (StatType.BASIC_NDV, 1 / NDV), (StatType.NDV_HYPERLOG, 1 / NDV)])
+def test_number(spark, kind, share, rate):
+    valid = TOTAL - NULLS
+    base = [("is_null", "p", None, up(NULLS, rate)), ("not_null", "p", None, up(valid, rate)), ("exists", "p", None, up(TOTAL, rate))]
+    check(spark, kind, [row("p", "base", TOTAL, NULLS), row("p_num", "num", valid, 0, LOW, HIGH, NDV)], base + asked_of_numbers(valid, valid * share, rate), rate)
 
 
 def test_bool_and_string(spark):
-    check(spark, StatType.BASIC, [row("b_bool", "bool", 80, 0, False, True), row("s_str", "str", 80, 0, "", "url")], [("eq", "b_bool", True, 40), ("eq", "b_bool", False, 40), ("eq", "s_str", "abc", 8), ("eq", "s_str", "zz", 0)])
-    check(spark, StatType.BASIC_NDV, [row("b_bool", "bool", 100, 20, False, True, 2), row("s_str", "str", 100, 20, "", "url", 60)], [("eq", "b_bool", True, 40), ("eq", "s_str", "abc", 2)])
+    rows = [row("f_bool", "bool", 46, 0, False, True, 2), row("t_str", "str", 212, 12, "kiwi", "plum", 25)]
+    check(spark, StatType.BASIC, rows, [("eq", "f_bool", True, 23), ("eq", "f_bool", False, 23), ("eq", "t_str", "lime", 20), ("eq", "t_str", "plum", 20), ("eq", "t_str", "quince", 0), ("eq", "t_str", "fig", 0)])
+    check(spark, StatType.BASIC_NDV, rows, [("eq", "f_bool", False, 23), ("eq", "t_str", "lime", 8), ("eq", "t_str", "zebra", 0)])
 
 
 @pytest.mark.parametrize("kind", list(StatType))
-@pytest.mark.parametrize(("hcs", "rate"), [(20, 0.0), (10, 0.5)])
+@pytest.mark.parametrize(("hcs", "rate"), [(50, 0.0), (25, 0.5)])
 def test_missing_path(spark, kind, hcs, rate):
-    asked = [("exists", "x", None, 20), ("is_null", "x", None, 2), ("not_null", "x", None, 18), ("eq", "x_num", 1, 2), ("lt", "x_num", 1, 6), ("gt", "x_num", 1, 6), ("range", "x_num", (1, 2), 6), ("eq", "x_bool", True, 10)]
-    asked += [("contains", "x_arr", [], 20), ("overlaps", "x_arr", [], 0), ("contains", "x_arr", [1], 2), ("overlaps", "x_arr", [1, 2], 6), ("memberof", "x_arr", 1, 2)]
+    asked = [("exists", "x", None, 50), ("is_null", "x", None, 5), ("not_null", "x", None, 45), ("eq", "x_num", 3, 5), ("lt", "x_num", 3, 15), ("gt", "x_num", 3, 15), ("range", "x_num", (3, 4), 15), ("eq", "x_bool", False, 25)]
+    asked += [("contains", "x_arr", [], 50), ("overlaps", "x_arr", [], 0), ("contains", "x_arr", [4], 5), ("overlaps", "x_arr", [4, 9], 15), ("memberof", "x_arr", 4, 5)]
     check(spark, kind, [row("other", "base", 1)], asked, rate, hcs)
 
 
-HISTOGRAM = [
-    ("exists", 0, 120, 150), ("eq", -1, 0, 0), ("eq", 16, 0, 0), ("eq", 5, 13, 16), ("eq", 7, 14, 18), ("eq", 10, 15, 19), ("lt", 0, 0, 0), ("lt", -1, 0, 0), ("lt", 16, 120, 150), ("lt", 5, 49, 62),
-    ("lt", 2.5, 25, 31), ("lt", 7, 70, 87), ("gt", 15, 0, 0), ("gt", 16, 0, 0), ("gt", -1, 120, 150), ("gt", 9, 30, 38), ("gt", 12, 15, 19), ("gt", 14, 5, 7), ("gt", 7, 51, 64),
-    ("range", (-1, 0), 0, 0), ("range", (-100000, 0), 0, 0), ("range", (15, 16), 0, 0), ("range", (16, 10000), 0, 0), ("range", (5, 5), 0, 0), ("range", (0, 1), 10, 13), ("range", (14, 15), 5, 7),
-    ("range", (0, 5), 49, 62), ("range", (5, 9), 41, 52), ("range", (3, 9), 61, 76), ("range", (7, 100), 51, 64), ("range", (-1000, 6), 60, 75),
-]
+#: Equi-height buckets (upper bound, count, distinct values) over a range from 3.
+BUCKETS = [(12, 70, 5), (13, 64, 1), (40, 90, 20), (95, 26, 4)]
+
+
+def by_buckets(op, x):
+    total, low, first = 0.0, 3, True
+    for high, count, ndv in BUCKETS:
+        if op == "lt":
+            total += count if high < x else count * (x - low) / (high - low) if (first or low < x) and ndv > 1 and x > low else 0
+        elif op == "gt":
+            total += count if low > x else (count if ndv == 1 else count * (high - x) / (high - low)) if high > x else 0
+        elif op == "range":
+            total += max(0, min(high, x[1]) - max(low, x[0])) / (high - low) * count
+        elif low < x <= high or (first and x == low):
+            total = count / ndv
+        low, first = high, False
+    return total
 
 
-@pytest.mark.parametrize(("rate", "at"), [(0.0, 2), (0.2, 3)])
-def test_equi_height(spark, rate, at):
-    rows = [row("a_num", "num", 120, 0, 0, 15, 9, hist="EQUI_HEIGHT", buckets=[(5, 49, 4), (9, 41, 3), (15, 30, 2)])]
-    check(spark, StatType.HISTOGRAM, rows, [(h[0], "a_num", None if h[0] == "exists" else h[1], h[at]) for h in HISTOGRAM], rate)
+@pytest.mark.parametrize("rate", [0.0, 0.5])
+def test_equi_height(spark, rate):
+    rows = [row("h_num", "num", 250, 0, 3, 95, 30, hist="EQUI_HEIGHT", buckets=BUCKETS)]
+    outside = {"lt": {2: 0, 3: 0, 99: 250}, "gt": {2: 250, 95: 0, 99: 0}, "eq": {2: 0, 99: 0}}
+    asked = [(op, "h_num", x, up(outside[op].get(x, by_buckets(op, x)), rate)) for op in outside for x in (2, 3, 7.5, 12, 12.5, 13, 21, 40, 94, 95, 99) if not (op == "gt" and x == 2)]
+    asked += [("range", "h_num", x, up(by_buckets("range", x), rate)) for x in ((-9, 1), (3, 95), (5, 12), (12, 13), (13, 13), (20, 500), (0, 30), (200, 300))]
+    check(spark, StatType.HISTOGRAM, rows, [*asked, ("exists", "h_num", None, up(250, rate))], rate)
 
 
 def test_singletons(spark):
-    words = [("", 5), ("abc", 75), ("abcc", 1), ("zabc", 2), ("zz", 2), ("zzzzz", 10)]
-    rows = [row("b_bool", "bool", 80, 0, False, True, 2, hist="SINGLETON", buckets=[(False, 5), (True, 75)]), row("s_str", "str", 95, 0, "", "zzzzz", 6, hist="SINGLETON", buckets=words)]
-    rows.append(row("p_str", "str", 100, 0, "a", "z", 12, hist="SINGLETON_PLUS", buckets=[("b", 60), (None, 40, 11)]))
-    rows.append(row("n_num", "num", 10, 0, 1, 4, 3, hist="SINGLETON", buckets=[(1, 2), (2, 3), (4, 5)]))
-    asked = [("eq", "b_bool", True, 75), ("eq", "b_bool", False, 5), *(("eq", "s_str", w, n) for w, n in words), ("eq", "s_str", "abd", 0), ("eq", "p_str", "b", 60), ("eq", "p_str", "c", 4)]
-    check(spark, StatType.HISTOGRAM, rows, [*asked, ("gt", "n_num", 1, 8), ("lt", "n_num", 4, 5), ("lt", "n_num", 3, 5)])
+    words = [("ash", 7), ("elm", 31), ("elms", 2), ("oak", 16), ("yew", 4)]
+    rows = [row("f_bool", "bool", 27, 0, False, True, 2, hist="SINGLETON", buckets=[(False, 21), (True, 6)]), row("t_str", "str", 60, 0, "ash", "yew", 5, hist="SINGLETON", buckets=words)]
+    rows.append(row("p_str", "str", 90, 0, "a", "z", 13, hist="SINGLETON_PLUS", buckets=[("k", 54), (None, 36, 12)]))
+    rows.append(row("n_num", "num", 22, 0, 2, 9, 4, hist="SINGLETON", buckets=[(2, 3), (5, 8), (6, 1), (9, 10)]))
+    asked = [("eq", "f_bool", True, 6), ("eq", "f_bool", False, 21), *(("eq", "t_str", w, n) for w, n in words), ("eq", "t_str", "fir", 0), ("eq", "p_str", "k", 54), ("eq", "p_str", "m", 3)]
+    check(spark, StatType.HISTOGRAM, rows, [*asked, ("gt", "n_num", 2, 19), ("lt", "n_num", 9, 12), ("lt", "n_num", 6, 11), ("gt", "n_num", 5.5, 11)])
 
 
 def test_mode(spark):

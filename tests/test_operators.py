@@ -21,18 +21,41 @@ def docs_of(spark, docs):
     return flatten.parse_documents(spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "doc_id long, doc string"))
 
 
-BUILDER = [{"a": 1}, {"a": 2}, {"a": None}, *({"b": {"c": v}} for v in (8, -1, -5, -1, 99, -99, -99, 8)), *({"d": {"e": v}} for v in (1, 0, 1))]
+COLLECTION = [{"n": k % 4 or None, "w": {"t": f"x{k % 3}"}, "q": {"r": {"s": k / 2}}} for k in range(12)] + [{"w": None}, {}]
 
 
 @pytest.mark.parametrize("kind", list(StatType))
-def test_builder(spark, kind):
-    found, meta = experiment.build(docs_of(spark, BUILDER), EngineConfig(kind))
-    got = {r["path"]: (r["count"], r["null_count"], r["min_num"], r["max_num"]) for r in found.collect()}
-    assert got["a"] == (3, 1, None, None) and got["a_num"] == (2, 0, 1, 2) and got["b_obj.c_num"] == (8, 0, -99, 99) and got["d_obj.e_num"] == (3, 0, 0, 1)
-    assert meta.first()["collection_size"] == len(BUILDER)
+def test_statistics_of_a_collection(spark, kind):
+    found, meta = experiment.build(docs_of(spark, COLLECTION), EngineConfig(kind))
+    rows = {r["path"]: r for r in found.collect()}
+    got = {p: (r["count"], r["null_count"], r["min_num"], r["max_num"], r["min_str"]) for p, r in rows.items()}
+    assert got == {
+        "n": (12, 3, None, None, None), "n_num": (9, 0, 1, 3, None), "w": (13, 1, None, None, None), "w_obj": (12, 0, None, None, None), "w_obj.t": (12, 0, None, None, None),
+        "w_obj.t_str": (12, 0, None, None, "x0"), **dict.fromkeys(("q", "q_obj", "q_obj.r", "q_obj.r_obj", "q_obj.r_obj.s"), (12, 0, None, None, None)), "q_obj.r_obj.s_num": (12, 0, 0, 5.5, None),
+    }
+    assert meta.first()["collection_size"] == len(COLLECTION)
     if kind is not StatType.BASIC:
-        ndv = {r["path"]: r["ndv"] for r in found.collect()}
-        assert (ndv["a_num"], ndv["b_obj.c_num"], ndv["d_obj.e_num"], ndv["a"]) == (2, 5, 2, None)
+        assert {p: r["ndv"] for p, r in rows.items() if r["ndv"]} == {"n_num": 3, "w_obj.t_str": 3, "q_obj.r_obj.s_num": 12}
+    if kind is StatType.NDV_WITH_MODE:
+        assert rows["n_num"]["mode"]["num_val"] == 1 and rows["n_num"]["mode"]["count"] == 3 and rows["w_obj.t_str"]["mode"]["str_val"] == "x0"
+
+
+def test_deeper_documents_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    docs = docs_of(spark, [{"a": {"b": 1}}, {"a": {"b": [{"c": 2}]}}])
+    with pytest.raises(PySparkException, match="nested deeper than 2 levels"):
+        flatten.flatten(docs, None, 2).count()
+    assert flatten.flatten(docs, None, 2, paths=("a/b",)).count() == 2
+
+
+def test_kinds_and_paths(spark):
+    docs = docs_of(spark, [{"a": {"b'c": [1, "x", [True]]}, "d": None, "e": []}, {"a": [2]}])
+    every = flatten.flatten(docs).collect()
+    for kinds in (("arr",), ("num", "str"), ("null", "bool"), ("obj",)):
+        assert sorted(map(str, flatten.flatten(docs, kinds=kinds).collect())) == sorted(str(r) for r in every if r["kind"] in kinds)
+    paths = ("a", "a/b'c/1", "a/0", "zz/y")
+    assert sorted(map(str, flatten.flatten(docs, paths=paths).collect())) == sorted(str(r) for r in every if "/".join(r["json_path"]) in paths)
 
 
 def reference_nodes(doc):
@@ -74,7 +97,7 @@ def test_unparsable_and_null_documents(spark):
 
 
 def test_type_confusion(spark):
-    cases = [([1, 2, 3, 4, None], 1), ([1, "2", 3, 4], 2), ([1, [1], 3, 4], 2), ([1, True, 3, 4], 2), ([True, "1", 2, [], {}, None], 5)]
+    cases = [([0.5, 7], 1), ([None, "p", "q"], 1), ([{"k": 1}, 6, {"k": 2}], 2), ([False, "no", None], 2), ([[], [3], {}, "z", 9], 4), ([3, "3", False, [3], {"3": 3}, None, 3.5], 5)]
     for values, expected in cases:
         nodes = flatten.flatten(docs_of(spark, [{"x": v} for v in values]))
         assert flatten.type_confusion(nodes).where("json_path = 'x'").first()["n_types"] == expected
@@ -87,21 +110,22 @@ def hist(spark, values, bins, **more):
     return r and (r["hist_type"], [(next((x for x in b[:3] if x is not None), None), b["count"], b["ndv"]) for b in r["buckets"]])
 
 
-GREEDY = [v for v, n in ((0, 20), (1, 10), (2, 4), (5, 15), (7, 30), (8, 1), (9, 10), (10, 10), (15, 20)) for _ in range(n)]
+#: 4 values in buckets that close at 20 (of 58, 3 buckets): 12 + 9; 25; 6 + 1 + 5.
+HEIGHTS = [v for v, n in ((2, 12), (3, 9), (4, 25), (8, 6), (11, 1), (12, 5)) for _ in range(n)]
 
 
 @pytest.mark.parametrize("fold_most", [0, 1000])
 def test_equi_height(spark, fold_most):
-    assert hist(spark, GREEDY, 3, fold_most=fold_most) == ("EQUI_HEIGHT", [(5, 49, 4), (9, 41, 3), (15, 30, 2)])
+    assert hist(spark, HEIGHTS, 3, fold_most=fold_most) == ("EQUI_HEIGHT", [(3, 21, 2), (4, 25, 1), (12, 12, 3)])
 
 
 def test_singleton_histograms(spark):
-    for bins in (2, 64):
-        assert hist(spark, [False] * 5 + [True] * 40, bins) == ("SINGLETON", [(False, 5, None), (True, 40, None)])
-    assert hist(spark, list("aaabaaadaaabaaadx"), 4) == ("SINGLETON", [("a", 12, None), ("b", 2, None), ("d", 2, None), ("x", 1, None)])
-    assert hist(spark, list("aaaaaabbbcde"), 3) == ("SINGLETON_PLUS", [("a", 6, None), (None, 6, 4)])
-    assert hist(spark, list("aaaaaabbbcde"), 3, singleton_plus=False) is None
-    assert hist(spark, list("abcdefgh"), 3) is None
+    for bins in (2, 9):
+        assert hist(spark, [True] * 3 + [False] * 8, bins) == ("SINGLETON", [(False, 8, None), (True, 3, None)])
+    assert hist(spark, list("qqqpqzqq"), 3) == ("SINGLETON", [("p", 1, None), ("q", 6, None), ("z", 1, None)])
+    assert hist(spark, list("mmmmmmmkkgh"), 3) == ("SINGLETON_PLUS", [("m", 7, None), (None, 4, 3)])
+    assert hist(spark, list("mmmmmmmkkgh"), 3, singleton_plus=False) is None
+    assert hist(spark, list("tuvwxy"), 4) is None
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -122,21 +146,21 @@ def test_enum_arrays(spark):
 
 
 def test_array_predicates(spark):
-    nodes = flatten.flatten(docs_of(spark, [{"a": [1, 3, 5, 7]}, {"a": []}, {"a": ["1"]}]))
-    asked = [("contains", [1], 1), ("contains", [1, 7], 1), ("contains", [1, 2], 0), ("contains", [], 3), ("overlaps", [1], 1), ("overlaps", [1, 2], 1), ("overlaps", [], 0), ("memberof", 3, 1), ("memberof", "1", 1)]
+    nodes = flatten.flatten(docs_of(spark, [{"a": [2, 4, 4, 9]}, {"a": []}, {"a": ["9", 4, None]}, {"a": [True]}]))
+    asked = [("contains", [4], 2), ("contains", [9, 2], 1), ("contains", [4, 5], 0), ("contains", [], 4), ("overlaps", [9], 1), ("overlaps", [9, "9"], 2), ("overlaps", [], 0), ("memberof", 4, 2), ("memberof", "9", 1), ("memberof", True, 1)]
     preds = predicate_frame(spark, [(op, "a_arr", v) for op, v, _ in asked]).withColumn("json_path", F.lit("a"))
     got = {r["pred_id"]: r["truth"] for r in truth.truths(preds, nodes).collect()}
     assert [got[k] for k in range(len(asked))] == [n for *_, n in asked]
 
 
 def test_unique_suffix(spark):
-    paths = ["a_obj", "a_obj.b_obj", "a_obj.b_obj.x_num", "b_obj.x_num", "c_obj.d", "c_obj.d_arr.0", "c_obj.d_arr.0_str", "guitar_str"]
+    paths = ["m_obj", "m_obj.k_num", "n_obj.k_num", "o_obj.u_obj", "o_obj.u_obj.v_str", "p_obj.tail", "p_obj.tail_arr.7_num", "solo_str"]
     rows = spark.createDataFrame([(p, 1) for p in paths], "path string, count long")
     short = {r["path"] for r in prune.unique_suffix(rows, EngineConfig()).collect()}
-    assert {"d", "0", "0_str"} <= short and {"a_obj", "guitar_str", "b_obj.x_num"} <= short
-    wanted = spark.createDataFrame([("c_obj.d_arr.0_str",), ("zz.q",)], "path string")
+    assert short == {"m_obj", "m_obj.k_num", "n_obj.k_num", "u_obj", "v_str", "tail", "7_num", "solo_str"}
+    wanted = spark.createDataFrame([("p_obj.tail_arr.7_num",), ("no.such",)], "path string")
     stored = spark.createDataFrame([(p,) for p in short], "path string")
-    assert {r["path"]: r["stored"] for r in prune.lookup_paths(wanted, stored, EngineConfig()).collect()} == {"c_obj.d_arr.0_str": "0_str", "zz.q": "zz.q"}
+    assert {r["path"]: r["stored"] for r in prune.lookup_paths(wanted, stored, EngineConfig()).collect()} == {"p_obj.tail_arr.7_num": "7_num", "no.such": "no.such"}
 
 
 def test_estimates_are_exact_for_singletons(spark):
@@ -173,7 +197,7 @@ def test_settings():
 
 
 def test_cache(spark, tmp_path):
-    docs, cache, config = docs_of(spark, BUILDER), experiment.StatsCache(spark, str(tmp_path)), EngineConfig(StatType.BASIC)
+    docs, cache, config = docs_of(spark, COLLECTION), experiment.StatsCache(spark, str(tmp_path)), EngineConfig(StatType.BASIC)
     with pytest.raises(KeyError):
         cache.get("builder", config)
     first = cache.get_or_build("builder", docs, config)
@@ -181,7 +205,7 @@ def test_cache(spark, tmp_path):
 
 
 def test_grid(spark, tmp_path):
-    docs = docs_of(spark, BUILDER)
+    docs = docs_of(spark, COLLECTION)
     rows = experiment.run_grid(docs, [EngineConfig(StatType.BASIC), EngineConfig(StatType.HISTOGRAM, buckets=4)], str(tmp_path / "grid"))
     assert {r[0] for r in rows.select("stats_type").distinct().collect()} == {"BASIC", "HISTOGRAM"}
 
@@ -215,10 +239,10 @@ def test_csv_sources(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    found, meta = experiment.build(docs_of(spark, BUILDER), EngineConfig(StatType.BASIC))
+    found, meta = experiment.build(docs_of(spark, COLLECTION), EngineConfig(StatType.BASIC))
     documents.write_stats(found, meta, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/stats")).count() == found.count()
-    assert documents.first_documents(docs_of(spark, BUILDER), 3).count() == 3
+    assert documents.first_documents(docs_of(spark, COLLECTION), 3).count() == 3
 
 
 def test_result_filters(spark):
