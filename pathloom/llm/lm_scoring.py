@@ -41,7 +41,7 @@ from .common import map_rows, text_bytes, words_of, written
 
 DICTIONARY = 60_000
 EMBEDDED = 4_000
-WORD_CLASSES = 24
+WORD_CLASSES = 40
 SPELLING_CLASSES = 8
 PROFILE = 16
 HIDDEN = 8
@@ -93,8 +93,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int = DICTIONARY) -> list[tuple[bytes, int]]:
-    """The ``most`` most frequent words with their counts, most frequent first; ties by spelling."""
-    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The ``most`` most frequent words with their counts, most frequent first; ties by spelling.
+
+    Numbers of words by size class of the count (eight to a doubling) tell first which words can be among them, so that few are sorted.
+    """
+    size = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    least, upto = 0, 0
+    for k, n in sorted(counts.groupBy(size).count().collect(), reverse=True):  # some hundred rows
+        least, upto = k, upto + n
+        if upto >= most:
+            break
+    top = written(counts.where(size >= least).orderBy(F.desc("n"), "word").limit(most))
+    return sorted(((bytes(r["word"]), r["n"]) for r in top.collect()), key=lambda x: (-x[1], x[0]))
 
 
 def encode(docs: DataFrame, dictionary: list[bytes]) -> DataFrame:
@@ -259,7 +269,8 @@ class Network:
         With ``grads`` (weight of each token, gradient of the vectors, gradient of the states as (token, feature)) also adds the loss's gradients.
         """
         out = np.zeros(ids.size, np.float32)
-        flat, rows = ids.ravel(), states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        flat, rows = ids.ravel(), np.ones((ids.size, HIDDEN + 1), np.float32)  # the last column takes the shares
+        rows[:, :HIDDEN] = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
         own = self.classes[flat]
         order = np.argsort(own, kind="stable")
         ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
@@ -268,9 +279,7 @@ class Network:
             if not len(at):
                 continue
             x, v, place = rows[at], self.params[4][members], self.place[flat[at]]
-            logits = x @ v.T
-            np.clip(logits, -20, 20, out=logits)
-            logits += shares
+            logits = x @ np.column_stack([v, shares]).T  # states and vectors are bounded, so no exponential overflows
             mine = logits[np.arange(len(at)), place]
             np.exp(logits, out=logits)
             total = logits.sum(1)
@@ -280,7 +289,7 @@ class Network:
                 logits /= total[:, None]
                 logits[np.arange(len(at)), place] -= 1
                 logits *= weight[at][:, None]
-                dv[members] += logits.T @ x
+                dv[members] += logits.T @ x[:, :HIDDEN]
                 dx[at] = logits @ v
         return out.reshape(ids.shape)
 
@@ -394,6 +403,8 @@ def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float =
             g = grads[k] * scale
             slopes[k] += g * g
             network.params[k] -= (WORD_RATE if k == 4 else 1) * rate * g / np.sqrt(slopes[k])
+        if network.members:
+            np.clip(network.params[4], -4, 4, out=network.params[4])
         rows = given.ravel()
         order = np.argsort(rows, kind="stable")
         first = np.r_[0, np.nonzero(np.diff(rows[order].astype(np.int32)))[0] + 1]
