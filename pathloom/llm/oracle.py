@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import secrets
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -40,10 +42,10 @@ JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents)
 
 def _rule_spans(rule: secrets.Rule, place: int) -> str:
     """SQL: (start, place, end, kind) of a rule's matches; pieces and matches alternate."""
-    pattern = rule.regex.replace("'", "''")
+    # DuckDB's expressions have no lookahead; the only one tells a private key's last short line from a word of text that follows the key.
+    pattern = re.sub(r"\(\?!\[[^\]]*\]\)", "", rule.regex).replace("'", "''")
     return f"""SELECT doc_id, CAST(list_sum(list_transform(pc[1 : i], lambda z: CAST(length(z) AS BIGINT))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda z: CAST(length(z) AS BIGINT))), 0) AS BIGINT) AS a, {place} AS place, length(m[i]) AS size, '{rule.kind}' AS kind
-        FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS pc, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d WHERE regexp_matches(t, '{pattern}')),
-        unnest(range(1, len(m) + 1)) x(i) WHERE length(g[i]) >= {rule.least}"""
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS pc, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE length(g[i]) >= {rule.least}"""
 
 
 _N = len(secrets.BASE)
