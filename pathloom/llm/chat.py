@@ -7,7 +7,7 @@ A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles a backsla
 ``\\n``; so no text can hold a control string, and unescaping gives back each text.
 
 The rows are dealt by conversation and sorted, and a task streams through them: it holds one conversation's prefix at a time, which is the
-length of that conversation's longest example. ``read_back`` parses examples in the same order.
+length of that conversation's longest example. ``read_back`` deals and sorts examples in the same way, unless told that they still are.
 
 Defined cases: null text and role count as empty; turns with the same number go by role, then text; a null conv_id is a conversation, null turns
 come first; repeated rows are turns of their own; an empty table gives no examples; further columns are passed over.
@@ -83,9 +83,10 @@ def examples(conversations: DataFrame, target: str = "assistant") -> DataFrame:
     return map_rows(dealt.select("conv_id", "role", "text"), "conv_id long, example int, text string, loss_start long, loss_end long", each)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """What the examples hold, for each conversation; ``formatted`` as ``examples`` gives it, in its order.
+def read_back(formatted: DataFrame, ordered: bool = False) -> DataFrame:
+    """What the examples hold, for each conversation.
 
+    ``ordered``: ``formatted`` comes straight from ``examples``, without a table or shuffle between, and is read in its order.
     All turns come from the longest example; each example's loss span gives a trainable text.
     """
 
@@ -112,4 +113,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         yield from result()
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
-    return map_rows(formatted.select("conv_id", "text", "loss_start", "loss_end"), schema, each)
+    dealt = formatted if ordered else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return map_rows(dealt.select("conv_id", "text", "loss_start", "loss_end"), schema, each)

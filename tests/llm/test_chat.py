@@ -33,6 +33,13 @@ def test_read_back(turns):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
 
 
+def test_read_back_of_a_table(turns, spark, tmp_path):
+    made = chat.examples(turns)
+    made.repartition(7, "text").write.parquet(str(tmp_path / "t"))
+    key = lambda r: str(r["conv_id"])
+    assert sorted(chat.read_back(spark.read.parquet(str(tmp_path / "t"))).collect(), key=key) == sorted(chat.read_back(made, ordered=True).collect(), key=key)
+
+
 def test_examples(turns):
     rows = chat.examples(turns.where("conv_id = -1")).collect()
     escaped = chat.escape(HOSTILE)

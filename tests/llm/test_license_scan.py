@@ -63,3 +63,33 @@ def test_documents_with_notices(spark, sf_dir):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, path string, text string")
     assert ls.license_scan(df).count() == 0
+
+
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+HEADER = "\n".join(f"# {line}" if line else "" for line in ("Copyright 2020 Someone", "", "Permission is hereby granted, free of charge, to any person obtaining a copy", "", "of this software and associated documentation files (the Software), to deal in the", "", "Software without restriction, including without limitation the rights to use, copy,", "", "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."))
+TOLD_APART = [
+    (GPL.format("General Public License", "2"), "GPL-2.0"), (GPL.format("General Public License", "3"), "GPL-3.0"), (GPL.format("Lesser General Public License", "2.1"), "LGPL-2.1"),
+    (GPL.format("Affero General Public License", "3"), "AGPL-3.0"), (ls._BSD, "BSD-2-Clause"), (ls._BSD + ls._BSD_NAMES, "BSD-3-Clause"), (ls._BSD + "\n\n" + ls._BSD_NAMES, "BSD-3-Clause"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"), ("Licensed under CC BY 3.0.", "CC-BY-3.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 2.5.", None), ("Licensed under the Apache Software License, Version 1.1.", "Apache-1.1"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Not licensed under the MIT License.", None), ("This is not released under the MIT License.", None), ("Released under the MIT License.", "MIT"), ("", None), ("the the the", None),
+    (HEADER + "\n\nimport os\n" + "x = 1\n" * 500, "MIT"), ("word " * 3000 + MIT.replace(" ", "\n\n") + " other" * 3000, "MIT"),
+]
+
+
+@pytest.mark.parametrize("text,expected", TOLD_APART)
+def test_relatives_are_told_apart(text, expected):
+    common = {"the": 900, "of": 900, "to": 900, "in": 900, "and": 900, "or": 700, "this": 700, "is": 800, "a": 900, "under": 300, "license": 60, "with": 800, "any": 400, "are": 700, "be": 700, "it": 800}
+    assert ls.Matcher(1000, common).scan(text, False)[0] == expected
+
+
+def test_what_is_passed_over_is_not_similar():
+    matcher = ls.Matcher(50, {"license": 7, "the": 40, "version": 9})
+    pieces = [t for _, t in ls.TEMPLATES] + ["the license of a thing", "version 2.0 of the software is free", "other words"]
+    for k, text in enumerate(pieces):
+        for passage in (ls.words(text), ls.words(text)[:4], ls.words(text + " " + pieces[k - 1])):
+            assert {j for j, s in matcher.scores(passage).items() if s >= matcher.least} <= matcher.possible(set(passage))
+
+
+def test_opening():
+    assert ls.opening(["/* a", "b", "c */", "", "code"]) == "/* a\nb\nc */\n" and ls.opening(["code"]) == "" and ls.opening(["# a", "", "# b", "x"]) == "# a\n\n# b"
