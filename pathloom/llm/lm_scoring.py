@@ -253,11 +253,16 @@ class Network:
             states[t] = h
         return states, h
 
+    def steep(self) -> bool:
+        """Whether a logit of a class can be beyond 40: states are between -1 and 1."""
+        return bool((np.abs(self.params[2]).sum(1) + np.abs(self.params[3])).max() > 40)
+
     def log_classes(self, states: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Natural log probability of each class (time, stream); all classes' probabilities times a total; the total."""
         logits = self.params[2] @ states
         logits += self.params[3][:, None]
-        np.clip(logits, -40, 40, out=logits)
+        if self.steep():
+            np.clip(logits, -40, 40, out=logits)
         own = np.take_along_axis(logits, classes[:, None], 1)[:, 0]
         np.exp(logits, out=logits)
         total = logits.sum(1)
@@ -280,15 +285,15 @@ class Network:
                 continue
             x, v, place = rows[at], self.params[4][members], self.place[flat[at]]
             logits = x @ np.column_stack([v, shares]).T  # states and vectors are bounded, so no exponential overflows
-            mine = logits[np.arange(len(at)), place]
+            each = np.arange(len(at))
+            mine = logits[each, place]
             np.exp(logits, out=logits)
             total = logits.sum(1)
             out[at] = mine - np.log(total)
             if grads is not None:
                 weight, dv, dx = grads
-                logits /= total[:, None]
-                logits[np.arange(len(at)), place] -= 1
-                logits *= weight[at][:, None]
+                logits *= (weight[at] / total)[:, None]
+                logits[each, place] -= weight[at]
                 dv[members] += logits.T @ x[:, :HIDDEN]
                 dx[at] = logits @ v
         return out.reshape(ids.shape)
@@ -370,9 +375,8 @@ def learn(network: Network, s: Streams, slopes: list[np.ndarray], rate: float =
         states, h = network.window(given, keep, h, save)
         weights = _weights(s, at, stop, n)
         _, d, total = network.log_classes(states, targets)
-        d /= total[:, None]
-        np.put_along_axis(d, targets[:, None], np.take_along_axis(d, targets[:, None], 1) - 1, 1)
-        d *= weights[:, None]
+        d *= (weights / total)[:, None]
+        np.put_along_axis(d, targets[:, None], np.take_along_axis(d, targets[:, None], 1) - weights[:, None], 1)
         e, u, w = network.params[:3]
         grads = [None, None, np.matmul(d, states.transpose(0, 2, 1)).sum(0), d.sum(2).sum(0)]
         back = w.T @ d
