@@ -307,6 +307,8 @@ MADE = """WITH r AS (SELECT l_returnflag AS op, l_linestatus AS config_id, l_ret
 
 _MEANS = "round(avg(abs(lg)), 6) AS {0}_log, round(avg(rel), 6) AS {0}_mare"
 
+_CUSTOMERS = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
 ORACLE_SQL: dict[str, str] = {
     **{f"path_inventory_{n}": inventory(n) for n in _SOURCES},
     **{f"basic_stats_{n}": basic(n) for n in _SOURCES},
@@ -346,4 +348,16 @@ ORACLE_SQL: dict[str, str] = {
     "metric_filtered": MADE + "SELECT op, config_id, count(*) AS n FROM y WHERE op = 'R' GROUP BY ALL",
     "distinct_at_paths": _with("orders") + """SELECT 'customer' AS name, count(DISTINCT c_custkey) AS ndv FROM src UNION ALL SELECT 'region', count(DISTINCT r_name) FROM src
         UNION ALL SELECT 'first', count(DISTINCT l_quantity) FROM items WHERE i = '0' UNION ALL SELECT 'none', 0""",
+    "metric_pruning_comparison": MADE + "SELECT CASE WHEN t % 2 = 0 THEN CAST(0.01 AS DOUBLE) ELSE CAST(0.003 AS DOUBLE) END AS min_freq, op, round(quantile_cont(abs(lg), 0.5), 6) AS median_abs_log, round(quantile_cont(abs(lg), 0.9), 6) AS p90_abs_log FROM y WHERE config_id = 'F' GROUP BY ALL",
+    "metric_bucket_comparison": MADE + """SELECT CAST(t % 3 AS BIGINT) AS buckets, CASE WHEN t % 2 = 0 THEN CAST(0.01 AS DOUBLE) ELSE CAST(0.003 AS DOUBLE) END AS min_freq, round(quantile_cont(abs(lg), 0.5), 6) AS median_abs_log,
+        round(quantile_cont(abs(lg), 0.9), 6) AS p90_abs_log FROM y WHERE op <> 'A' GROUP BY ALL""",
+    "metric_matching": MADE + "SELECT op, config_id, count(*) AS n FROM y WHERE op IN ('A', 'N') AND config_id = 'F' GROUP BY ALL",
+    **{f"enum_hll_{n}": _with(n, _ENUM[n]) + "SELECT DISTINCT path, true AS within FROM el" for n in ("orders", "convs")},
+    "estimate_events_hll_bound": f"SELECT CAST(range AS BIGINT) AS pred_id, true AS within FROM range({len(q.PREDICATES['events'])})",
+    "source_json_lines": _CUSTOMERS,
+    "source_json_in_csv": _CUSTOMERS,
+    "source_json_array": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
+    "source_csv": "SELECT s_suppkey, s_name, s_acctbal, CAST(s_nationkey AS VARCHAR) AS nation_id, 'STRING' AS id_type, 'n' || s_nationkey AS second_tag FROM supplier",
+    "source_first_documents": "SELECT event_id AS doc_id FROM events ORDER BY event_id LIMIT 100",
+    "sink_stats_events": basic("events"),
 }

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig, Prune, StatType
 from ..functions import metrics
 from ..operators import enum_arrays, flatten, histogram, prune, stats
-from ..tables import spread, written
+from ..sources import documents
+from ..tables import shared_folder, spread, written
 from . import estimate, experiment, fixtures, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +122,18 @@ def enum_buckets(name: str, bins: int) -> Query:
     return lambda spark, d: bucket_rows(enum_arrays.enum_stats(nodes(spark, d, name, ("arr",)), EngineConfig(buckets=bins)).where("buckets is not null"))
 
 
+def enum_hll(name: str) -> Query:
+    """Like ``hll_bound``, for the distinct elements of arrays."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        arrays = written(nodes(spark, d, name, ("arr",)))
+        exact, sketched = (enum_arrays.enum_stats(arrays, EngineConfig(k)) for k in (StatType.BASIC_NDV, StatType.NDV_HYPERLOG))
+        both = exact.select("path", "ndv").join(sketched.select("path", F.col("ndv").alias("guess")), "path")
+        return both.select("path", (F.abs(F.col("guess") - F.col("ndv")) <= F.greatest(F.lit(1), 0.25 * F.col("ndv"))).alias("within"))
+
+    return run
+
+
 def sampled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, depth = fixtures.collection(spark, sf_dir, "events")
     config = EngineConfig(StatType.BASIC_NDV, sampling_rate=RATE)
@@ -162,6 +175,14 @@ def estimates(name: str, kind: StatType, rate: float = 0.0, *strategies: Prune)
     return run
 
 
+def hll_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each estimate from sketched distinct counts is as near to that from exact ones as five times the sketch's error allows."""
+    exact, sketched = (estimates("events", k)(spark, sf_dir) for k in (StatType.BASIC_NDV, StatType.NDV_HYPERLOG))
+    both = exact.join(sketched.select("pred_id", F.col("estimate").alias("guess")), "pred_id")
+    near = F.abs(F.col("guess") - F.col("estimate")) <= 1 + F.col("estimate") / 3
+    return both.select("pred_id", F.coalesce(near, F.col("guess").eqNullSafe(F.col("estimate"))).alias("within"))  # both null: not to be estimated
+
+
 def truths(name: str, per_path: int = 25) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         own = truth.collected(nodes(spark, d, name))
@@ -233,6 +254,72 @@ def distinct_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
+def _fields(docs: DataFrame, **kinds: str) -> DataFrame:
+    return docs.select(*(F.try_variant_get("doc", f"$.{name}", kind).alias(name) for name, kind in kinds.items()))
+
+
+CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "bigint", "c_acctbal": "double", "c_mktsegment": "string"}
+
+
+def source_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as JSON lines and read back as documents."""
+    folder = shared_folder(spark)
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.to_json(F.struct(*CUSTOMER)).alias("value")).write.text(folder)
+    return _fields(documents.json_lines(spark, folder), **CUSTOMER)
+
+
+def source_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, of which there are few, written as one JSON array and read back as documents."""
+    folder = shared_folder(spark)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
+    rows.write.text(folder)
+    return _fields(documents.json_array(spark, folder), n_nationkey="bigint", n_name="string", n_regionkey="bigint")
+
+
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as CSV: numbers become numbers, except in a column named like an id; a list stands in quotes."""
+    folder = shared_folder(spark)
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal", F.col("s_nationkey").alias("nation_id"), F.format_string("['%s', 'n%s']", "s_name", "s_nationkey").alias("tags"))
+    rows.write.csv(folder, header=True, escape='"')
+    docs = documents.csv_documents(spark, folder, lists=("tags",))
+    shown = _fields(docs, s_suppkey="bigint", s_name="string", s_acctbal="double", nation_id="string")
+    types = docs.select(F.schema_of_variant(F.try_variant_get("doc", "$.nation_id", "variant")).alias("id_type"), F.try_variant_get("doc", "$.tags[1]", "string").alias("second_tag"), F.try_variant_get("doc", "$.s_suppkey", "bigint").alias("s_suppkey"))
+    return shown.join(types, "s_suppkey")
+
+
+def source_json_in_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as JSON behind four columns of CSV and read back."""
+    folder = shared_folder(spark)
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows.select(F.concat_ws(",", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", F.to_json(F.struct(*CUSTOMER))).alias("value")).write.text(folder)
+    spark.createDataFrame([("key,nation,balance,segment,doc",)], "value string").write.mode("append").text(folder)
+    return _fields(documents.json_in_csv(spark, folder), **CUSTOMER)
+
+
+def source_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred documents, as the source's own rule has it."""
+    return documents.first_documents(fixtures.collection(spark, sf_dir, "events")[0], 100).select("doc_id")
+
+
+def sink_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics written as JSON and read back."""
+    folder = shared_folder(spark)
+    docs, depth = fixtures.collection(spark, sf_dir, "events")
+    found, about = experiment.build(docs, EngineConfig(StatType.BASIC), depth)
+    documents.write_stats(found, about, folder)
+    back = spark.read.schema(found.schema).json(f"{folder}/stats")
+    return stat_rows(back).drop("ndv", "mode_num", "mode_str", "mode_bool", "mode_cnt")
+
+
+def made_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``made_results`` with settings of configurations."""
+    flag = F.col("config_id") == "F"
+    return made_results(spark, sf_dir).select(
+        "*", F.when(flag, "MIN_FREQ").otherwise("MAX_NO_PATHS").alias("prune"), F.when(F.col("truth") % 2 == 0, 0.01).otherwise(0.003).alias("min_freq"),
+        F.when(F.col("op") == "A", "BASIC").otherwise("HISTOGRAM").alias("stats_type"), (F.col("truth") % 3).alias("buckets"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     **{f"path_inventory_{n}": path_inventory(n) for n in fixtures.FIXTURES},
     **{f"basic_stats_{n}": basic_stats(n) for n in fixtures.FIXTURES},
@@ -276,5 +363,16 @@ QUERIES: dict[str, Query] = {
     "metric_trimmed": trimmed,
     "metric_combined": lambda s, d: _rounded(metrics.combined(made_results(s, d), ("A",), "config_id")),
     "metric_filtered": lambda s, d: metrics.filtered(made_results(s, d), op="R", config_id="*").groupBy("op", "config_id").agg(F.count("*").alias("n")),
+    "metric_pruning_comparison": lambda s, d: _rounded(metrics.pruning_comparison(made_settings(s, d), "MIN_FREQ", "min_freq")),
+    "metric_bucket_comparison": lambda s, d: _rounded(metrics.bucket_comparison(made_settings(s, d))),
+    "metric_matching": lambda s, d: metrics.matching(made_settings(s, d), op=("A", "N"), config_id="*", prune="MIN_FREQ", buckets=None).groupBy("op", "config_id").agg(F.count("*").alias("n")),
     "distinct_at_paths": distinct_at,
+    **{f"enum_hll_{n}": enum_hll(n) for n in ("orders", "convs")},
+    "estimate_events_hll_bound": hll_estimates,
+    "source_json_lines": source_json_lines,
+    "source_json_array": source_json_array,
+    "source_csv": source_csv,
+    "source_json_in_csv": source_json_in_csv,
+    "source_first_documents": source_first,
+    "sink_stats_events": sink_stats,
 }
