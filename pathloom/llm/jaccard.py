@@ -167,11 +167,11 @@ def shared_tokens(rows: DataFrame, sizes: DataFrame, percent: int, prefix_percen
 def texts_of(docs: DataFrame, keys: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``keys`` with the text of their document ``rep`` as bytes.
 
-    Up to ``most`` bytes the keys are broadcast; beyond that the join is a shuffle of the texts. A key counts 16 bytes a column, and 64 for each of
-    its tasks.
+    Up to ``most`` bytes the keys are broadcast; beyond that the join is a shuffle of the texts. A key counts what it takes at most in the hash table
+    that is sent, whose slots and rows grow by doubling: 128 bytes, 16 a column, and for tasks 32 and 128 each.
     """
     keys = written(keys)
-    weight = F.lit(16 * len(keys.columns)) + (64 * F.size("task") if "task" in keys.columns else F.lit(0))
+    weight = F.lit(128 + 16 * len(keys.columns)) + (32 + 128 * F.size("task") if "task" in keys.columns else F.lit(0))
     size = keys.agg(F.sum(weight)).first()[0] or 0
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text"))
     return texts.join(F.broadcast(keys) if size <= most else keys, "rep")
@@ -216,8 +216,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def _starred(edges: DataFrame, low: DataFrame) -> DataFrame:
     """Edges (u, v) with their u's ``low``; a hub's edges are dealt by salt."""
-    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(_every_salt(low), ["u", "salt"])
+
+
+def _every_salt(per_key: DataFrame) -> DataFrame:
+    """``per_key`` once for each salt, never to be broadcast: Spark takes its size as that before the salts, and would gather many times that in the driver."""
+    return per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 class Signatures:
@@ -332,8 +336,7 @@ def tree_join(docs: DataFrame, keys: DataFrame, groups: DataFrame, width: int, p
 
 def _salted(rows: DataFrame, per_key: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` with the columns of ``per_key``; rows of one key are dealt by salt, so that a hot key is no single task."""
-    salted = per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(_every_salt(per_key), [*key, "salt"]).drop("salt")
 
 
 def two_dealings(sets: DataFrame, block: int) -> DataFrame:

@@ -77,6 +77,33 @@ def test_large_keys_shuffle(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def broadcasts(df):
+    """Whether the plan, as it was run, has a broadcast join; the rows."""
+    rows = len(df.collect())
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString(), rows
+
+
+def test_salted_keys_are_never_broadcast(spark):
+    """Spark takes a table's size as that before the salts, so however small it seems, it must not be gathered in the driver."""
+    sets = jaccard.written(spark.range(2000).selectExpr("id div 2 as grp", "id as rep"))
+    total = sets.groupBy("grp").agg({"rep": "min"}).withColumnRenamed("min(rep)", "low")
+    assert broadcasts(jaccard._salted(sets, total, ["grp"])) == (False, 2000)
+    edges = sets.selectExpr("rep as u", "grp as v")
+    assert broadcasts(jaccard._starred(edges, edges.groupBy("u").agg({"v": "min"}).withColumnRenamed("min(v)", "low"))) == (False, 2000)
+
+
+def test_keys_count_as_in_the_hash_table(spark):
+    """A key takes 64 bytes at least in the table that is sent."""
+    docs, keys = spark.range(1000).selectExpr("id as doc_id", "'a' as text"), spark.range(1000).selectExpr("id as rep")
+    none = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert broadcasts(jaccard.texts_of(docs, keys, 64_000)) == (False, 1000)
+        assert broadcasts(jaccard.texts_of(docs, keys, 1 << 20)) == (True, 1000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", none)
+
+
 def test_tree_links_equal_all_pairs():
     r = np.random.default_rng(4)
     sets = []
